@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = "quirework-tables"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder in spark.checkpoint.dir; only where the session names none (local runs) one is made."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir")
+        if own is None:
+            own = tempfile.mkdtemp(prefix="quirework-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+    return f"{context.getCheckpointDir()}/{TABLES}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there.
+    """df, written as a table to the shared folder and read from there.
 
-    The folder is spark.checkpoint.dir; only where the session names none (local runs) one is made.
+    A checkpoint would hand on the size that the optimiser estimated for it, which a self-join squares: after thirty
+    rounds that number alone fills the driver. A table brings its true size, by which joins are then planned.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quirework-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written so far; what was made from them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
