@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.folio import folio_form, folio_form_sql
 from quirework.functions.hashing import SPAN, position_sql
-from quirework.llm import components, sampling, splits, topn
+from quirework.llm import components, mixing, sampling, splits, tokens, topn
 from quirework.session import table
 
 PROPOSAL_RATE, LOOSE_RATE, FOLIO_RATE = 0.1, 0.05, 0.25
@@ -60,6 +60,35 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(whole, "proposal_type").select("proposal_type", "split_name", "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return tokens.decode(p8_ids(spark, d))
+
+
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The size of the corpus in tokens of each tokenizer."""
+    documents = table(spark, d, "documents")
+    counts = None
+    for name in (*tokens.BYTE_LEVEL, "word_bpe_49k", "piece_bpe_32k"):
+        one = tokens.token_counts(documents, name).agg(F.count("*").alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(F.lit(name).alias("tokenizer"), "documents", "tokens")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    mix, rates = mixing.mixed(mixing.sized(table(spark, d, "documents")), targets)
+    return mixing.mix_report(mix, rates, targets)
+
+
 QUERIES = {
     "p1_proposals": p1_proposals,
     "p1_folios": p1_folios,
@@ -70,6 +99,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_shares": p5_shares,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p8_tokens": p8_tokens,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
 }
 
 _FIRST = f"""SELECT proposal_id, coalesce({folio_form_sql('folio')}, '') AS folio FROM proposals WHERE proposal_id IS NOT NULL
@@ -91,6 +125,7 @@ ORACLE = {
     "p2_ranked": _RANKED.format("folio, candidate_index, inliers, inlier_ratio, median_reprojection_px, rank"),
     "p3_found": f"{_GROUPS} SELECT id AS proposal_id, group_id FROM g",
     "p3_sizes": f"{_GROUPS} SELECT group_id, count(*) AS size FROM g GROUP BY group_id",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": "WITH RECURSIVE "
     + _EDGES.format("leaf_a", "leaf_b", "bifolios")
     + f""", f AS (SELECT DISTINCT folio, TRY_CAST(regexp_extract(folio, '^f([0-9]+)', 1) AS INT) AS leaf FROM (SELECT {folio_form_sql('folio')} AS folio FROM proposals) WHERE folio IS NOT NULL)
