@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from quirework.plans.lineage import cut
 
-DOUBLINGS = 3
-
 
 def _once(edges: DataFrame) -> DataFrame:
     """Undirected edges (lo, hi), each once, without loops and null ends."""
     return edges.where("lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
 
 
-def _hooks(edges: DataFrame) -> DataFrame:
+def _at(table: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """table joined with names on key, by sorting both: names grow with the data, so they aren't broadcast."""
+    return table.join(names.hint("merge"), key)
+
+
+def _parents(edges: DataFrame) -> DataFrame:
     """(v, p): every vertex hooked to the far end of its smallest edge; of two that chose each other the smaller is root.
 
     Edges are ordered by a hash of their ends, then the ends: one order for all, so no longer cycles arise, and trees
@@ -23,19 +26,16 @@ def _hooks(edges: DataFrame) -> DataFrame:
     """
     weight = F.struct(F.xxhash64("lo", "hi").alias("h"), "lo", "hi")
     ends = edges.select(F.explode(F.array("lo", "hi")).alias("v"), weight.alias("w"))
-    least = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", (F.when(F.col("v") == F.col("w.lo"), F.col("w.hi")).otherwise(F.col("w.lo"))).alias("p"), F.col("w.h").alias("h"))
-    return least
-
-
-def _rooted(hooks: DataFrame) -> DataFrame:
-    up = hooks.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    mutual = F.col("pp") == F.col("v")
-    return hooks.join(up, "p").select("v", F.when(mutual & (F.col("v") < F.col("p")), F.col("v")).otherwise(F.col("p")).alias("p"))
+    far = F.when(F.col("v") == F.col("w.lo"), F.col("w.hi")).otherwise(F.col("w.lo"))
+    hooks = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", far.alias("p"))
+    mutual = (F.col("pp") == F.col("v")) & (F.col("v") < F.col("p"))
+    return _at(hooks, "p", hooks.select(F.col("v").alias("p"), F.col("p").alias("pp"))).select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p"))
 
 
 def _doubled(parents: DataFrame) -> DataFrame:
+    """(v, p, moved): every pointer doubled."""
     up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    return parents.join(up, "p").select("v", F.col("pp").alias("p"))
+    return _at(parents, "p", up).select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
 
 
 def hook_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -49,26 +49,17 @@ def hook_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     links = cut(_once(edges.select(F.col(left).alias("lo"), F.col(right).alias("hi"))))
     vertices, maps = links.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), []
     while not links.isEmpty():
-        parents = cut(_rooted(_hooks(links)))
-        while True:
-            for _ in range(DOUBLINGS):
-                parents = _doubled(parents)
-            parents = cut(parents)
-            roots = parents.where("v = p").select("p")
-            if parents.join(roots, "p", "left_anti").isEmpty():
-                break
-        maps.append(parents)
-        to = parents.select(F.col("v").alias("lo"), F.col("p").alias("lo2"))
-        ends = links.join(to, "lo").select(F.col("lo2").alias("lo"), "hi")
-        to = parents.select(F.col("v").alias("hi"), F.col("p").alias("hi2"))
-        links = cut(_once(ends.join(to, "hi").select("lo", F.col("hi2").alias("hi"))))
+        parents = cut(_doubled(cut(_parents(links))))
+        while not parents.where("moved").isEmpty():
+            parents = cut(_doubled(parents.drop("moved")))
+        maps.append(parents.drop("moved"))
+        ends = _at(links, "lo", maps[-1].select(F.col("v").alias("lo"), F.col("p").alias("lo2"))).select(F.col("lo2").alias("lo"), "hi")
+        links = cut(_once(_at(ends, "hi", maps[-1].select(F.col("v").alias("hi"), F.col("p").alias("hi2"))).select("lo", F.col("hi2").alias("hi"))))
     if not maps:
         return vertices.select("id", F.col("id").alias("group_id"))
     # the maps shrink from round to round, so they are put together from the last to the first
     whole = maps.pop()
     while maps:
         after = whole.select(F.col("v").alias("p"), F.col("p").alias("end"))
-        whole = maps.pop().join(after, "p", "left").select("v", F.coalesce("end", "p").alias("p"))
-    whole = cut(whole)
-    least = whole.groupBy("p").agg(F.min("v").alias("group_id"))
-    return whole.join(least, "p").select(F.col("v").alias("id"), "group_id")
+        whole = cut(maps.pop().join(after.hint("merge"), "p", "left").select("v", F.coalesce("end", "p").alias("p")))
+    return _at(whole, "p", whole.groupBy("p").agg(F.min("v").alias("group_id"))).select(F.col("v").alias("id"), "group_id")

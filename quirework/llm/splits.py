@@ -33,7 +33,7 @@ def frontier_components(edges: DataFrame, left: str, right: str, rates: tuple[fl
         front = cut(left_over.where(spot < F.lit(int(rate * SPAN)) if rate < 1 else F.lit(True)).select("a", F.col("a").alias("seed")))
         seen = front if seen is None else seen.unionByName(front)
         while rate < 1 and not front.isEmpty():
-            reached = front.join(near, "a").groupBy("b").agg(F.min("seed").alias("seed")).select(F.col("b").alias("a"), "seed")
+            reached = front.join(near.hint("merge"), "a").groupBy("b").agg(F.min("seed").alias("seed")).select(F.col("b").alias("a"), "seed")
             front = cut(reached.join(seen, "a", "left_anti"))
             seen = cut(seen.unionByName(front))
         left_over = cut(left_over.join(seen, "a", "left_anti"))
