@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.folio import folio_form, folio_form_sql
 from quirework.functions.hashing import SPAN, position_sql
-from quirework.llm import components, mixing, sampling, splits, tokens, topn
+from quirework.llm import components, mixing, neighbours, sampling, splits, tokens, topn
 from quirework.session import table
 
 PROPOSAL_RATE, LOOSE_RATE, FOLIO_RATE = 0.1, 0.05, 0.25
@@ -42,6 +42,14 @@ def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("group_id").agg(F.count("*").alias("size"))
 
 
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "proposal_vectors"), 5, 0.82)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.near_pairs(p4_nearest(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.leaf_groups(table(spark, d, "proposals"), table(spark, d, "bifolios")).select("folio", "group_leaf")
 
@@ -96,6 +104,8 @@ QUERIES = {
     "p2_ranked": p2_ranked,
     "p3_found": p3_found,
     "p3_sizes": p3_sizes,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_shares": p5_shares,
