@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.folio import folio_form, folio_form_sql
 from quirework.functions.hashing import SPAN, position_sql
-from quirework.llm import components, mixing, neighbours, sampling, splits, tokens, topn
+from quirework.llm import components, languages, mixing, neighbours, sampling, splits, tokens, topn
 from quirework.session import table
 
 PROPOSAL_RATE, LOOSE_RATE, FOLIO_RATE = 0.1, 0.05, 0.25
@@ -97,6 +97,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mix, rates, targets)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return languages.wrong_labels(documents, languages.train(table(spark, d, "lang_samples"), documents))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of each text that holds a sentence, in its place, with its language."""
+    documents = table(spark, d, "documents")
+    read = languages.document_segments(documents.select("doc_id", "text"), languages.train(table(spark, d, "lang_samples"), documents))
+    return read.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.lang", "s.words", "s.confidence", "s.text")
+
+
 QUERIES = {
     "p1_proposals": p1_proposals,
     "p1_folios": p1_folios,
@@ -114,6 +126,8 @@ QUERIES = {
     "p8_tokens": p8_tokens,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 
 _FIRST = f"""SELECT proposal_id, coalesce({folio_form_sql('folio')}, '') AS folio FROM proposals WHERE proposal_id IS NOT NULL
