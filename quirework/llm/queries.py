@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.folio import folio_form, folio_form_sql
 from quirework.functions.hashing import SPAN, position_sql
-from quirework.llm import components, languages, mixing, neighbours, sampling, splits, tokens, topn
+from quirework.llm import components, languages, mixing, neighbours, sampling, spectral, splits, tokens, topn
 from quirework.session import table
 
 PROPOSAL_RATE, LOOSE_RATE, FOLIO_RATE = 0.1, 0.05, 0.25
@@ -68,6 +68,14 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(whole, "proposal_type").select("proposal_type", "split_name", "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.closed_groups(table(spark, d, "proposal_vectors"))
+
+
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.described(table(spark, d, "proposal_vectors"), folio=folio_form(F.col("folio")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -121,6 +129,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_shares": p5_shares,
+    "p7_found": p7_found,
+    "p7_clusters": p7_clusters,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p8_tokens": p8_tokens,
