@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.queries import nested
+from quirework.queries import nested, tables, vectors
 
-QUERIES = {**nested.QUERIES}
-ORACLE = {**nested.ORACLE}
+QUERIES = {**nested.QUERIES, **vectors.QUERIES, **tables.QUERIES}
+ORACLE = {**nested.ORACLE, **vectors.ORACLE, **tables.ORACLE}
