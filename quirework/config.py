@@ -46,11 +46,12 @@ class ProposalLimits:
     window_min: int = 8
     window_step: float = 0.6
     window_step_min: int = 4
+    window_step_rounds: bool = True
     windows: int = 4
     total: int | None = 18
 
 
-BASE_LIMITS = ProposalLimits(min_word=3, min_area=5, area_share=0.0, min_box_area=0, max_side_at_least=2, components=16, by_ink=False, gap=0.18, merged=8, merged_area=0, window_min=6, window_step=0.5, window_step_min=3, windows=8, total=None)
+BASE_LIMITS = ProposalLimits(min_word=3, min_area=5, area_share=0.0, min_box_area=0, max_side_at_least=2, components=16, by_ink=False, gap=0.18, merged=8, merged_area=0, window_min=6, window_step=0.5, window_step_min=3, window_step_rounds=False, windows=8, total=None)
 CURRENT_LIMITS = ProposalLimits()
 
 

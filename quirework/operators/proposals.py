@@ -15,7 +15,8 @@ def window_boxes(width: Column, height: Column, limits: ProposalLimits = CURRENT
 
     def of(share: float) -> Column:
         w = F.greatest(F.lit(limits.window_min), F.least(width, F.rint(width * F.lit(share)).cast("int")))
-        step = F.greatest(F.lit(limits.window_step_min), F.floor(w * F.lit(limits.window_step)).cast("int"))
+        whole = F.rint if limits.window_step_rounds else F.floor
+        step = F.greatest(F.lit(limits.window_step_min), whole(w * F.lit(limits.window_step)).cast("int"))
         last = F.greatest(F.lit(0), width - w)
         xs = F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last))))
         return F.transform(F.slice(xs, 1, limits.windows), lambda x: F.struct(x.cast("int").alias("x"), F.lit(0).alias("y"), w.cast("int").alias("w"), height.cast("int").alias("h")))
@@ -54,7 +55,7 @@ def merged_boxes(components: Column, limits: ProposalLimits = CURRENT_LIMITS) ->
 def usable_components(components: Column, width: Column, height: Column, limits: ProposalLimits = CURRENT_LIMITS) -> Column:
     """Components (x, y, w, h, ink) that are neither specks nor the whole crop, in the order that the limits ask for."""
     area = width * height
-    good = F.filter(components, lambda c: (c["ink"] >= F.greatest(F.lit(limits.min_area), F.floor(area * F.lit(limits.area_share)))) & (c["w"] * c["h"] >= limits.min_box_area) & (F.least(c["w"], c["h"]) >= limits.min_side) & (F.greatest(c["w"], c["h"]) >= limits.max_side_at_least) & (c["w"] * c["h"] <= area * F.lit(limits.most_of_crop)))
+    good = F.filter(components, lambda c: (c["ink"] >= F.greatest(F.lit(limits.min_area), F.rint(area * F.lit(limits.area_share)))) & (c["w"] * c["h"] >= limits.min_box_area) & (F.least(c["w"], c["h"]) >= limits.min_side) & (F.greatest(c["w"], c["h"]) >= limits.max_side_at_least) & (c["w"] * c["h"] <= area * F.lit(limits.most_of_crop)))
     by_place = F.array_sort(F.transform(good, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["w"].alias("w"), c["h"].alias("h"), c["ink"].alias("ink"))))
     if not limits.by_ink:
         return by_place

@@ -228,7 +228,7 @@ def full_coordinates(spark, d):
 # words and proposals
 
 
-@query("SELECT p_partkey, w.s AS share, x FROM part, (VALUES (38), (62)) w(s), LATERAL (SELECT greatest(8, least(p_size + 40, round_even((p_size + 40) * (w.s / 100.0)::DOUBLE, 0)::INT)) AS ww) a, LATERAL (SELECT greatest(4, floor(ww * 0.6::DOUBLE)::INT) AS step, greatest(0, p_size + 40 - ww) AS last) b, LATERAL (SELECT DISTINCT unnest(list_slice(list_sort(list_distinct(list_append(generate_series(0, last, step), last))), 1, 4)) AS x) c")
+@query("SELECT p_partkey, w.s AS share, x FROM part, (VALUES (38), (62)) w(s), LATERAL (SELECT greatest(8, least(p_size + 40, round_even((p_size + 40) * (w.s / 100.0)::DOUBLE, 0)::INT)) AS ww) a, LATERAL (SELECT greatest(4, round_even(ww * 0.6::DOUBLE, 0)::INT) AS step, greatest(0, p_size + 40 - ww) AS last) b, LATERAL (SELECT DISTINCT unnest(list_slice(list_sort(list_distinct(list_append(generate_series(0, last, step), last))), 1, 4)) AS x) c")
 def sliding_windows(spark, d):
     rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 40).alias("width"))
     boxes = proposals.window_boxes(F.col("width"), F.lit(20), CURRENT_LIMITS)
