@@ -53,9 +53,9 @@ def merged_boxes(components: Column, limits: ProposalLimits = CURRENT_LIMITS) ->
 
 
 def usable_components(components: Column, width: Column, height: Column, limits: ProposalLimits = CURRENT_LIMITS) -> Column:
-    """Components (x, y, w, h, ink) that are neither specks nor the whole crop, in the order that the limits ask for."""
+    """Components (x, y, w, h, ink) that are neither specks nor the whole crop, in the order that the limits ask for; none of null."""
     area = width * height
-    good = F.filter(components, lambda c: (c["ink"] >= F.greatest(F.lit(limits.min_area), F.rint(area * F.lit(limits.area_share)))) & (c["w"] * c["h"] >= limits.min_box_area) & (F.least(c["w"], c["h"]) >= limits.min_side) & (F.greatest(c["w"], c["h"]) >= limits.max_side_at_least) & (c["w"] * c["h"] <= area * F.lit(limits.most_of_crop)))
+    good = F.filter(F.coalesce(components, F.array().cast("array<struct<x:int,y:int,w:int,h:int,ink:int>>")), lambda c: (c["ink"] >= F.greatest(F.lit(limits.min_area), F.rint(area * F.lit(limits.area_share)))) & (c["w"] * c["h"] >= limits.min_box_area) & (F.least(c["w"], c["h"]) >= limits.min_side) & (F.greatest(c["w"], c["h"]) >= limits.max_side_at_least) & (c["w"] * c["h"] <= area * F.lit(limits.most_of_crop)))
     by_place = F.array_sort(F.transform(good, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["w"].alias("w"), c["h"].alias("h"), c["ink"].alias("ink"))))
     if not limits.by_ink:
         return by_place

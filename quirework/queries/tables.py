@@ -198,11 +198,11 @@ def quad_overlap(spark, d):
     return rows.select("reg_id", r6("overlap").alias("share"))
 
 
-@query(f"SELECT reg_id, round(h[1][1] * (canvas_width::DOUBLE / target_width), 4) AS a, round(h[2][3] * 0.5, 6) + 0 AS f, h[3][3] AS i FROM ({DETS}) WHERE target_width > 0")
+@query(f"SELECT reg_id, h[1][1] * (canvas_width::DOUBLE / target_width) AS a, h[2][3] * 0.5::DOUBLE + 0 AS f, h[3][3] AS i FROM ({DETS}) WHERE target_width > 0")
 def full_scale(spark, d):
     scaled = G.scaled_homography(F.col("h"), F.col("canvas_width") / F.col("target_width"), F.lit(0.5))
     rows = _quads(spark, d).where("target_width > 0").select("reg_id", scaled.alias("s"))
-    return rows.select("reg_id", F.round(G.cell(F.col("s"), 0, 0), 4).alias("a"), (r6(G.cell(F.col("s"), 1, 2)) + 0).alias("f"), G.cell(F.col("s"), 2, 2).alias("i"))
+    return rows.select("reg_id", G.cell(F.col("s"), 0, 0).alias("a"), (G.cell(F.col("s"), 1, 2) + 0).alias("f"), G.cell(F.col("s"), 2, 2).alias("i"))
 
 
 BOX = "SELECT DISTINCT proposal_id, derivative_xywh AS b, yale_xywh AS y, word_relative_xywh AS r FROM proposals WHERE derivative_xywh IS NOT NULL"
