@@ -254,11 +254,11 @@ def _measured(model: Model, clean: list[tuple[str, list[str]]]) -> Model:
 def document_segments(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of documents with segments, an array of (lang, words, confidence, text); empty for null, empty and languageless texts.
 
-    No shuffle: every text is read where it lies, whole.
+    No shuffle: every text is read where it lies, whole. A column named segments is replaced.
     """
     sent = documents.sparkSession.sparkContext.broadcast((model.weights, model_margin(model)))
     kinds = dict(documents.dtypes)
-    others = [c for c in documents.columns if c != text]
+    others = [c for c in documents.columns if c not in (text, "segments")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, margin = sent.value
