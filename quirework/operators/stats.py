@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.hashing import position
+from quirework.plans.prefix import running_sum
 
 
 def auc_of_histogram(counts: DataFrame) -> DataFrame:
@@ -88,3 +89,33 @@ def max_similarity(patches: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = pairs.join(unit.select(F.col("id").alias("a"), F.col("patch").alias("pa"), F.col("vec").alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
     best = sides.groupBy("a", "b", "pa").agg(F.max(dot(F.col("va"), F.col("vb"))).alias("m"))
     return best.groupBy("a", "b").agg(F.avg("m").alias("score"))
+
+
+def sampled_pairs(rows: DataFrame, key: str, label: str, n: int, seed: str = "408") -> DataFrame:
+    """(draw, a, b, same): n pairs within labels, the label drawn first, and n pairs of any two rows of different labels.
+
+    Draws are hashes of their number, so they come out alike for every layout. Labels of one row have no pairs; draws
+    that hit one row twice, or for the second kind two of one label, are left out. Rows are found by their number: no
+    two rows meet that weren't drawn.
+    """
+    clean = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("l"))
+    sizes = clean.groupBy("l").agg(F.count("*").alias("size"))
+    # numbering labels and rows: by hash buckets, so that no task sees all
+    inside = clean.withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy("k")) - 1)
+    eligible = sizes.where("size >= 2").withColumn("li", F.row_number().over(Window.orderBy("l")) - 1)
+    labels, whole = eligible.count(), clean.count()
+    if not labels or whole < 2:
+        return rows.sparkSession.createDataFrame([], f"draw bigint, a {dict(rows.dtypes)[key]}, b {dict(rows.dtypes)[key]}, same boolean")
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw")
+
+    def spot(what: str):
+        return position("draw", F.lit(what), salt=seed)
+
+    first = draws.withColumn("li", F.pmod(spot("label"), F.lit(labels))).join(eligible, "li").select("draw", "l", F.pmod(spot("a"), F.col("size")).alias("pa"), F.pmod(spot("b"), F.col("size")).alias("pb"))
+    a, b = inside.select("l", F.col("at").alias("pa"), F.col("k").alias("a")), inside.select("l", F.col("at").alias("pb"), F.col("k").alias("b"))
+    same = first.join(a, ["l", "pa"]).join(b, ["l", "pb"]).where("a <> b").select("draw", "a", "b", F.lit(True).alias("same"))
+    numbered = running_sum(clean.withColumn("one", F.lit(1)).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(1024))), "one", "number", "bucket", ["k"])
+    asked = draws.select("draw", F.pmod(spot("x"), F.lit(whole)).alias("x"), F.pmod(spot("y"), F.lit(whole)).alias("y"))
+    x, y = numbered.select((F.col("number") - 1).alias("x"), F.col("k").alias("a"), F.col("l").alias("la")), numbered.select((F.col("number") - 1).alias("y"), F.col("k").alias("b"), F.col("l").alias("lb"))
+    other = asked.join(x, "x").join(y, "y").where("a <> b AND la <> lb").select("draw", "a", "b", F.lit(False).alias("same"))
+    return same.unionByName(other)

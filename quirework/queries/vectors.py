@@ -266,3 +266,13 @@ def zero_filled_counts(spark, d):
 @query("SELECT count(*) AS n, count(*) FILTER (" + HELD.format("vec_id") + ") AS held FROM embeddings")
 def hash_share(spark, d):
     return vectors(spark, d).agg(F.count("*").alias("n"), F.count_if(first_byte("vec_id") < 52).alias("held"))
+
+
+@query()
+def sampled_auc(spark, d):
+    """The AUC over drawn pairs, labels drawn before members."""
+    rows = vectors(spark, d)
+    pairs = stats.sampled_pairs(rows, "vec_id", "label", 4000)
+    v = lambda c: rows.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"v{c}"))
+    scored = pairs.join(v("a"), "a").join(v("b"), "b").select("same", F.round(V.dot(F.col("va"), F.col("vb")) / (V.norm(F.col("va")) * V.norm(F.col("vb"))), 6).alias("score"))
+    return stats.auc(scored, "score", "same").select(F.round("auc", 6).alias("auc"), "positives", "negatives")

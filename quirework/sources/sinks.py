@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,3 +47,29 @@ def deflated(text: Column) -> Column:
 def summary_line(one_row: DataFrame, prefix: str = "FINAL_SUMMARY_JSON=") -> DataFrame:
     """(value): the summary of a run as one line."""
     return json_documents(one_row.withColumn("__k", F.lit(0)), "__k").select(F.concat(F.lit(prefix), F.get_json_object("document", "$")).alias("value"))
+
+
+def png(grey) -> bytes:
+    """A grey picture (rows of uint8) as PNG bytes."""
+    height, width = grey.shape
+    lines = b"".join(b"\0" + bytes(row) for row in grey)
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines, 9)) + part(b"IEND", b"")
+
+
+def contact_sheet(picks: DataFrame, rows: int = 24, columns: int = 6, cell: tuple[int, int] = (170, 105)) -> bytes:
+    """A PNG of at most rows x columns crops (cluster, pick, width, height, data), a line for each cluster: a report for the eye."""
+    shown = picks.where(F.col("pick") < columns).orderBy("cluster", "pick").limit(rows * columns).collect()
+    clusters = sorted({r["cluster"] for r in shown})[:rows]
+    sheet = np.full((max(1, len(clusters)) * cell[1], columns * cell[0]), 255, np.uint8)
+    for r in shown:
+        if r["cluster"] in clusters and r["width"] and r["height"]:
+            grey = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])
+            step = max(1, -(-r["width"] // (cell[0] - 8)), -(-r["height"] // (cell[1] - 8)))
+            small = grey[::step, ::step]
+            y, x = clusters.index(r["cluster"]) * cell[1], r["pick"] * cell[0]
+            sheet[y : y + small.shape[0], x : x + small.shape[1]] = small
+    return png(sheet)
