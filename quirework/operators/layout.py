@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from statistics import median
 
 import pandas as pd
@@ -23,18 +24,26 @@ def fold_lines(boxes: list[tuple[int, float, float, float, float]]) -> list[tupl
     if not boxes:
         return []
     limit = max(8.0, 0.65 * median(b[4] for b in boxes))
-    lines: list[tuple[list[float], list[int]]] = []
+    centres: list[list[float]] = []  # of each line, in order
+    members: list[list[int]] = []
     for index, x, y, w, h in sorted(boxes, key=lambda b: (b[2] + b[4] / 2, b[1], b[0])):
         centre = y + h / 2
-        gaps = [abs(centre - median(centres)) for centres, _ in lines]
+        gaps = [abs(centre - _middle(line)) for line in centres]
         near = min(range(len(gaps)), key=lambda n: (gaps[n], n), default=None)
         if near is None or gaps[near] > limit:
-            lines.append(([centre], [index]))
+            centres.append([centre])
+            members.append([index])
         else:
-            lines[near][0].append(centre)
-            lines[near][1].append(index)
-    order = sorted(range(len(lines)), key=lambda n: (median(lines[n][0]), n))
-    return [(index, number) for number, n in enumerate(order) for index in lines[n][1]]
+            insort(centres[near], centre)
+            members[near].append(index)
+    order = sorted(range(len(members)), key=lambda n: (_middle(centres[n]), n))
+    return [(index, number) for number, n in enumerate(order) for index in members[n]]
+
+
+def _middle(ordered: list[float]) -> float:
+    """The median of an ordered list."""
+    half = len(ordered) // 2
+    return ordered[half] if len(ordered) % 2 else (ordered[half - 1] + ordered[half]) / 2
 
 
 def infer_lines(boxes: DataFrame, page: str = "folio") -> DataFrame:
