@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.plans.lineage import cut
+from quirework.plans.prefix import running_sum
 
 
 def similarity_threshold(knn: DataFrame, floor: float, q: float) -> DataFrame:
@@ -38,8 +39,8 @@ def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
 def numbered_clusters(labels: DataFrame, least: int, most: int) -> DataFrame:
     """(id, component, size, cluster_id): components of a size within bounds, numbered from 0 by falling size, then smallest id; others are -1."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    # the components of a size within bounds are numbered by one task that sees only (component, size)
-    valid = sizes.where(F.col("size").between(least, most)).withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1)
+    valid = sizes.where(F.col("size").between(least, most)).withColumn("falling", -F.col("size")).withColumn("one", F.lit(1))
+    valid = running_sum(valid, "one", "number", "falling", ["component"]).withColumn("cluster_id", F.col("number") - 1)
     return labels.join(sizes, "component").join(valid.select("component", "cluster_id"), "component", "left").select("id", "component", "size", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id"))
 
 

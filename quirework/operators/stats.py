@@ -102,7 +102,8 @@ def sampled_pairs(rows: DataFrame, key: str, label: str, n: int, seed: str = "40
     sizes = clean.groupBy("l").agg(F.count("*").alias("size"))
     # numbering labels and rows: by hash buckets, so that no task sees all
     inside = clean.withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy("k")) - 1)
-    eligible = sizes.where("size >= 2").withColumn("li", F.row_number().over(Window.orderBy("l")) - 1)
+    bucketed = sizes.where("size >= 2").withColumn("one", F.lit(1)).withColumn("bucket", F.pmod(F.xxhash64("l"), F.lit(1024)))
+    eligible = running_sum(bucketed, "one", "number", "bucket", ["l"]).select("l", "size", (F.col("number") - 1).alias("li"))
     labels, whole = eligible.count(), clean.count()
     if not labels or whole < 2:
         return rows.sparkSession.createDataFrame([], f"draw bigint, a {dict(rows.dtypes)[key]}, b {dict(rows.dtypes)[key]}, same boolean")
