@@ -127,12 +127,18 @@ def targets_of(language: str) -> np.ndarray:
 def fit(examples: list[tuple[str, list[str]]], epochs: int = 12, rate: float = 0.5, seed: int = 408) -> Model:
     """Linear support vector machines by stochastic gradient steps on the hinge loss, averaged over the later epochs."""
     rng = np.random.default_rng(seed)
-    rows = []
+    rows, known = [], {}
+
+    def features(word: str) -> np.ndarray:
+        if word not in known:
+            known[word] = np.array(grams(word))
+        return known[word]
+
     for language, words in examples:
         if not words:
             continue
         for variant in (words, bare(words), misread(words, rng)):
-            places, counts = np.unique(np.concatenate([grams(w) for w in variant]), return_counts=True)
+            places, counts = np.unique(np.concatenate([features(w) for w in variant]), return_counts=True)
             rows.append((places, (counts / np.sqrt((counts * counts).sum())).astype(np.float32), targets_of(language)))
     weights = np.zeros((DIMENSIONS, MACHINES), np.float32)
     total, taken = np.zeros_like(weights), 0
@@ -209,15 +215,15 @@ def named_language(label: Column) -> Column:
     return F.when(label.rlike(rf"^({codes})(-[A-Za-z]{{2}})?\z"), F.substring(label, 1, 2)).when(label.rlike(rf"^({codes.upper()})\z"), F.lower(label)).otherwise(F.try_element_at(names, label))
 
 
-def train(samples: DataFrame, documents: DataFrame, labelled: int = 3000, most_samples: int = 10_000) -> Model:
-    """Machines fitted on samples (lang, text) and a hash sample of at most `labelled` documents (doc_id, text, lang).
+def train(samples: DataFrame, documents: DataFrame, labelled: int = 3000, longest: int = 20_000, most_samples: int = 10_000) -> Model:
+    """Machines fitted on samples (lang, text) and a hash sample of at most `labelled` documents (doc_id, text, lang) of up to `longest` characters.
 
     Labels of documents may be wrong: a first model, of the samples alone, must agree with them for most of the text;
     transliteration and log lines of these documents are the examples of no language.
     """
     known = [(r["lang"], units(r["text"])) for r in samples.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("sample_id").limit(most_samples).select("lang", "text").collect()]
     clean = [(lang, [w for u in us for w in u]) for lang, us in known if lang in LANGUAGES]
-    drawn = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", named_language(F.col("lang")).alias("named")).orderBy(position("doc_id", salt="languages"), "doc_id").limit(labelled).select("text", "named").collect()
+    drawn = documents.where(F.col("doc_id").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", named_language(F.col("lang")).alias("named")).orderBy(position("doc_id", salt="languages"), "doc_id").limit(labelled).select("text", "named").collect()
     nothing = [("none", words) for r in drawn for words in no_language(r["text"])[:4]]
     read = [(r["named"], [u for u in units(r["text"])[:8] if 5 <= len(u) <= 40]) for r in drawn if r["named"]]
     model = _measured(fit([*clean, *nothing[: len(clean) * 2]]), clean)

@@ -22,6 +22,7 @@ from quirework.plans.workers import shipped
 
 MICRO = 1_000_000
 MOST_PIVOTS = 8192
+AT_ONCE = 4_000_000  # similarities that a Python worker holds at once, about
 FULL = 2**15 - 1
 SLACK = 4e-6  # more than single precision can be off
 
@@ -91,11 +92,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _nearest(unit: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     """The places of the nearest pivots, nearest first, ties by place."""
-    k = min(posted, len(pivots))
-    sims = unit @ pivots.T
-    part = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    order = np.lexsort((part, -np.take_along_axis(sims, part, 1)), axis=1)
-    return np.take_along_axis(part, order, 1).astype(np.int32)
+    k, step = min(posted, len(pivots)), max(64, AT_ONCE // len(pivots))
+    out = np.empty((len(unit), k), np.int32)
+    for at in range(0, len(unit), step):
+        sims = unit[at : at + step] @ pivots.T
+        part = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        order = np.lexsort((part, -np.take_along_axis(sims, part, 1)), axis=1)
+        out[at : at + step] = np.take_along_axis(part, order, 1)
+    return out
 
 
 def post(rows: DataFrame, pivots: np.ndarray, blocks: dict[int, int], index: Index) -> DataFrame:
@@ -162,7 +166,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both, a, np.iinfo(np.int32).max).min(1)
 
 
-def nearest_in(block: Block, rows: np.ndarray, cols: np.ndarray, k: int, least: int, reach: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in(block: Block, rows: np.ndarray, cols: np.ndarray, k: int, least: int, reach: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, micro-cosine) of the k nearest among cols of each of rows, as places in the block; ties to the smaller id.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's nearest.
