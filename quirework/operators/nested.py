@@ -42,6 +42,22 @@ def _each(array: str, item: str, place: str, body: str) -> str:
     return f"transform(coalesce({array}, array()), ({item}, {place}) -> {body})"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with a name for value, which is so worked out once; a column named on the way would be worked out at each use."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _items(json: str) -> str:
+    """The items of the manifest that a record holds; null if it holds none."""
+    inner = f"try_variant_get({_parsed('s')}, '$[0][0]', 'string')"
+    string = f"CASE WHEN {json} RLIKE r'^{BLANK}\"' THEN try_variant_get({_parsed(json)}, '$[0]', 'string') ELSE {json} END"
+    listed = f"CASE WHEN s RLIKE r'^{BLANK}\\[{BLANK}\"' THEN concat('[', {inner}, ']') ELSE s END"
+    whole = f"size(v) = 2 AND try_variant_get(v[1], '$', 'string') = '{WHOLE}'"
+    alone = f"CASE WHEN size({_list('v[0]')}) = 1 THEN {_list('v[0]', '$[0].items')} END"
+    found = f"CASE WHEN {whole} THEN coalesce({_list('v[0]', '$.items')}, {alone}) END"
+    return _let("s", string, _let("t", listed, _let("v", _list(_parsed("t")), found)))
+
+
 def manifest_objects(records: DataFrame, json: str = "manifest") -> DataFrame:
     """Adds the variant `items` of each record that is one whole manifest object with a list of items.
 
@@ -49,14 +65,7 @@ def manifest_objects(records: DataFrame, json: str = "manifest") -> DataFrame:
     text after the object, repeated keys in an object, other values and objects over the size of a variant (16 MB) give
     no row; their number is in the difference of the counts. Other columns stay as they are.
     """
-    out = records.withColumn("__t", F.when(F.col(json).rlike(f"^{BLANK}\""), F.expr(f"try_variant_get({_parsed(json)}, '$[0]', 'string')")).otherwise(F.col(json)))
-    inner = F.expr(f"try_variant_get({_parsed('__t')}, '$[0][0]', 'string')")
-    out = out.withColumn("__t", F.when(F.col("__t").rlike(f"^{BLANK}\\[{BLANK}\""), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("__t")))
-    out = out.withColumn("__v", F.expr(_list(_parsed("__t"))))
-    whole = f"size(__v) = 2 AND try_variant_get(__v[1], '$', 'string') = '{WHOLE}'"
-    alone = _list("__v[0]")
-    items = f"CASE WHEN {whole} THEN coalesce({_list('__v[0]', '$.items')}, CASE WHEN size({alone}) = 1 THEN {_list('__v[0]', '$[0].items')} END) END"
-    return out.withColumn("items", F.expr(items)).drop("__t", "__v").where("items IS NOT NULL")
+    return records.withColumn("items", F.expr(_items(f"`{json}`"))).where("items IS NOT NULL")
 
 
 CANVAS = "struct(i AS canvas_index, 'canvas' AS kind, -1 AS page_index, -1 AS item_index, -1 AS alt_index, '' AS lang, {} AS val)"
@@ -87,10 +96,9 @@ def _bodies() -> str:
 
 
 def _rows(records: DataFrame, key: str, json: str, arrays: list[str]) -> DataFrame:
-    found = manifest_objects(records.select(key, json), json)
-    every = F.expr("concat(" + ", ".join(f"flatten({a})" for a in arrays) + ")")
-    listed = found.select(key, F.filter(every, lambda r: r["val"].isNotNull()).alias("rows"))
-    return listed.select(key, F.inline("rows")).distinct()
+    flat = "concat(" + ", ".join(f"flatten({a})" for a in arrays) + ")"
+    rows = _let("items", _items(f"`{json}`"), f"filter({flat}, r -> r.val IS NOT NULL)")
+    return records.select(key, F.inline(F.expr(rows))).distinct()
 
 
 def canvases(records: DataFrame, key: str = "raw_id", json: str = "manifest") -> DataFrame:
