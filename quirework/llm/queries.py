@@ -43,11 +43,11 @@ def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(table(spark, d, "proposal_vectors"), 5, 0.82)
+    return neighbours.nearest(table(spark, d, "proposal_vectors"), 5, 0.82).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.near_pairs(p4_nearest(spark, d))
+    return neighbours.near_pairs(neighbours.nearest(table(spark, d, "proposal_vectors"), 5, 0.82))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +151,17 @@ _EDGES = """e AS (SELECT DISTINCT a, b FROM (SELECT {0} AS a, {1} AS b FROM {2}
  w(id, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.m FROM w JOIN e ON w.id = e.a WHERE w.m < e.b),
  g AS (SELECT id, min(m) AS group_id FROM w GROUP BY id)"""
 _GROUPS = "WITH RECURSIVE " + _EDGES.format("id_i", "id_j", "mutual_edges")
+# The exact answers; the index is approximate, but finds all of them at the scale of the comparison.
+_VECTORS = """WITH v AS (SELECT vec_id, any_value(vec::DOUBLE[]) AS v FROM proposal_vectors WHERE vec_id IS NOT NULL AND vec IS NOT NULL AND len(vec) = 64
+  AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+ s AS (SELECT a.vec_id AS id, b.vec_id AS near, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, near) AS rank FROM s WHERE cosine >= 0.82),
+ g AS (SELECT id, list_sort(list_append(list(near), id)) AS m FROM n GROUP BY id), k AS (SELECT m, count(*) AS c FROM g GROUP BY m)"""
 
 ORACLE = {
+    "p4_nearest": f"{_VECTORS} SELECT id, near, cosine, rank FROM n WHERE rank <= 5",
+    "p4_found": f"{_VECTORS} SELECT DISTINCT least(id, near) AS vec_id_a, greatest(id, near) AS vec_id_b FROM n WHERE rank <= 5",
+    "p7_found": f"{_VECTORS} SELECT id AS vec_id, m[1] AS cluster_key FROM g JOIN k USING (m) WHERE c = len(m) AND c >= 5",
     "p1_proposals": f"SELECT proposal_id, folio FROM ({_FIRST}) WHERE {position_sql('proposal_id')} < CASE WHEN folio = '' THEN {int(LOOSE_RATE * SPAN)} ELSE {int(PROPOSAL_RATE * SPAN)} END",
     "p1_folios": f"SELECT DISTINCT folio FROM (SELECT {folio_form_sql('folio')} AS folio FROM proposals) WHERE {position_sql('folio', salt='folio')} < {int(FOLIO_RATE * SPAN)}",
     "p2_found": _RANKED.format("folio, candidate_index"),
