@@ -16,8 +16,10 @@ def shared_folder(spark: SparkSession) -> str:
     """This application's part of the folder in spark.checkpoint.dir; only where the session names none (local runs) one is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        own = context.getConf().get("spark.checkpoint.dir")
+        own = spark.conf.get("spark.checkpoint.dir", None)
         if own is None:
+            if not context.master.startswith("local"):
+                raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
             own = tempfile.mkdtemp(prefix="quirework-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(own)
