@@ -34,7 +34,8 @@ class Index:
     pivots: per square root of the number of rows, so that lists and their number grow alike; posted: under how many
     pivots a vector is posted; reach: the least footrule similarity, posted * (posted + 1) / 2 minus half the footrule
     distance, of a candidate (1: every candidate in a common list is reranked); block: lists that are longer are cut,
-    and all pairs of their blocks searched in tasks of their own.
+    and all pairs of their blocks searched in tasks of their own; spread: no two pivots have this cosine or more, so
+    that a dense group, however large, has one list that holds all of it instead of many that few near members share.
     """
 
     dim: int = 64
@@ -43,9 +44,13 @@ class Index:
     reach: int = 1
     block: int = 8192
     sample: int = 4  # rows drawn for each pivot wanted
+    spread: float = 0.7
     narrow: bool = False  # post unit vectors of 16-bit values, half the size; cosines are then off by up to 3e-4
 
 
+NEAREST_INDEX = Index(block=32_768)  # a list of many blocks is posted once for each of them
+
+
 def usable_vectors(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     """(id, vec) of the rows with a key and dim finite values that aren't all zero; repeated rows still repeat."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
@@ -80,7 +85,7 @@ def choose_pivots(rows: DataFrame, n: int, index: Index) -> tuple[np.ndarray, di
         return np.zeros((0, index.dim), np.float32), {}
     unit = _unit(np.stack(drawn.drop_duplicates("id")["vec"].to_numpy()).astype(np.float32))
     _, first = np.unique(unit, axis=0, return_index=True)
-    pivots = unit[np.sort(first)[:wanted]]
+    pivots = _apart(unit[np.sort(first)], index.spread, wanted)
     lists = np.bincount(_nearest(unit, pivots, index.posted).ravel(), minlength=len(pivots)) * (n / len(unit))
     return pivots, {int(p): math.ceil(1.25 * s / index.block) for p, s in enumerate(lists) if 1.25 * s > index.block}
 
@@ -90,6 +95,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(1, keepdims=True))).astype(np.float32)
 
 
+def _apart(unit: np.ndarray, spread: float, wanted: int) -> np.ndarray:
+    """Up to `wanted` of the vectors, in order, each of a cosine under `spread` with those taken before."""
+    taken, n = np.empty((min(wanted, len(unit)), unit.shape[1]), np.float32), 0
+    for at in range(0, len(unit), 256):
+        some = unit[at : at + 256]
+        some = some[(some @ taken[:n].T).max(1, initial=-1.0) < spread]
+        before = n
+        for v in some:
+            if n < len(taken) and (taken[before:n] @ v).max(initial=-1.0) < spread:
+                taken[n] = v
+                n += 1
+    return taken[:n]
+
+
 def _nearest(unit: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     """The places of the nearest pivots, nearest first, ties by place."""
     k, step = min(posted, len(pivots)), max(64, AT_ONCE // len(pivots))
@@ -166,13 +185,13 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both, a, np.iinfo(np.int32).max).min(1)
 
 
-def nearest_in(block: Block, rows: np.ndarray, cols: np.ndarray, k: int, least: int, reach: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in(block: Block, rows: np.ndarray, cols: np.ndarray, k: int, least: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, micro-cosine) of the k nearest among cols of each of rows, as places in the block; ties to the smaller id.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's nearest.
     """
     cols = cols[block.copy[cols] <= k]
-    out = []
+    out, step = [], min(1024, max(64, AT_ONCE // max(1, len(cols))))
     for at in range(0, len(rows), step):
         some = rows[at : at + step]
         sims = block.unit[some] @ block.unit[cols].T
@@ -224,7 +243,7 @@ def prepared(df: DataFrame, key: str, vec: str, index: Index) -> tuple[DataFrame
     return rows, pivots, blocks
 
 
-def nearest(df: DataFrame, k: int = 5, least: float | None = None, key: str = "vec_id", vec: str = "vec", index: Index = Index()) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, least: float | None = None, key: str = "vec_id", vec: str = "vec", index: Index = NEAREST_INDEX) -> DataFrame:
     """(id, near, cosine, rank): up to k most similar other vectors of every usable vector, best first, ties to the smaller id.
 
     Vectors that are null, of another length, not finite or all zero have no rows and are no one's neighbours; each key

@@ -72,6 +72,17 @@ def test_recall_of_the_defaults(spark):
     assert len(pairs(got) & pairs(want)) / len(pairs(got)) > 0.97
 
 
+def test_recall_in_a_group_of_a_third(spark):
+    rng = np.random.default_rng(7)
+    centre, others = rng.normal(size=64), rng.normal(size=(400, 64))
+    x = np.r_[centre + rng.normal(size=(2000, 64)) * 0.38, np.repeat(others, 10, 0) + rng.normal(size=(4000, 64)) * 0.3].astype(np.float32)
+    ids = rng.permutation(len(x))
+    many = neighbours.Index(pivots=3.0)  # as many in the group as the default has in a large table
+    got, want = found(neighbours.nearest(table(spark, ids, x), 5, 0.82, index=many)), brute(ids, x, 5, 0.82)
+    dense = {(int(i), j) for i in ids[:2000] for j in want[int(i)]}
+    assert len(dense & {(i, j) for i, js in got.items() for j in js}) / len(dense) > 0.97
+
+
 def test_footrule_cuts_only(spark):
     ids, x = vectors(60, 2)
     wide = found(neighbours.nearest(table(spark, ids, x), 5, 0.82))
