@@ -139,8 +139,8 @@ def padded(grey: np.ndarray, least: int = 16) -> np.ndarray:
     return out
 
 
-def crops(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """(key, item, width, height, ink, components, data): the crops of images (key, image) at boxes (key, item, box), normalised.
+def crops(images: DataFrame, boxes: DataFrame, key: str, normalise: bool = True) -> DataFrame:
+    """(key, item, width, height, ink, components, data): the crops of images (key, image) at boxes (key, item, box), normalised or as they are.
 
     image is Spark's image struct. Crops are cut and read in Arrow batches; boxes outside the image give empty crops.
     """
@@ -153,7 +153,7 @@ def crops(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
                 grey = decoded(image["height"], image["width"], image["nChannels"], image["data"])
                 x, y, w, h = (max(0, box[c]) for c in ("x", "y", "w", "h"))
                 cut = grey[y : y + h, x : x + w]
-                even = normalised_ink(cut) if cut.size else cut
+                even = normalised_ink(cut) if normalise and cut.size else cut
                 parts = mask_components(ink_mask(even)) if min(even.shape, default=0) >= 3 else []
                 rows.append((k, item, cut.shape[1], cut.shape[0], ink_fraction(even), [dict(zip(("x", "y", "w", "h", "ink"), p)) for p in parts], even.tobytes()))
             yield pd.DataFrame(rows, columns=[key, "item", "width", "height", "ink", "components", "data"])
@@ -162,6 +162,17 @@ def crops(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return shipped(boxes).join(images.select(key, "image"), key).select(key, "item", "box", "image").mapInPandas(run, schema)
 
 
+def varied(crops_: DataFrame, kinds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """The crops with a column kind, each once for every kind of variant, with the variant's pixels."""
+
+    @F.pandas_udf("binary")
+    def changed(width: pd.Series, height: pd.Series, data: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([variant(np.frombuffer(raw, np.uint8).reshape(h, w), k).tobytes() if raw else raw for w, h, raw, k in zip(width, height, data, kind)])
+
+    every = shipped(crops_).withColumn("kind", F.explode(F.array(*(F.lit(k) for k in kinds))))
+    return every.withColumn("data", changed("width", "height", "data", "kind"))
+
+
 def embedded(crops_: DataFrame, keys: list[str], model: Column | None = None, dim: int = 64) -> DataFrame:
     """(keys, vec): crops as vectors of unit length by an injected model, a column over (width, height, data).
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.config import CURRENT_LIMITS, ProposalLimits
 from quirework.functions.text import leaf_base
+from quirework.functions.vectors import dot
 from quirework.operators import audit, imaging, layout, proposals, registration
 from quirework.plans.lineage import cut
 from quirework.sources import sinks
@@ -69,18 +70,56 @@ def proposal_crops(given: Inputs, word_rows: DataFrame) -> DataFrame:
     return placed.select(*kept).join(ink, "proposal_id").join(vectors, "proposal_id")
 
 
+def word_vectors(given: Inputs, word_rows: DataFrame) -> DataFrame:
+    """The words with word_id and the vectors of their crops: raw, ink (normalised), fused (the sum of both, of unit length)."""
+    keyed = word_rows.withColumn("key", F.col("canvas_index").cast("string")).withColumn("word_id", F.xxhash64("folio", "source_index"))
+    boxes = keyed.select("key", F.col("word_id").alias("item"), F.col("derivative_xywh").alias("box"))
+    raw, ink = (imaging.embedded(imaging.crops(given.images, boxes, "key", normalise).withColumnRenamed("item", "word_id"), ["word_id"], given.model) for normalise in (False, True))
+    both = raw.select("word_id", _unit("vec").alias("raw")).join(ink.select("word_id", _unit("vec").alias("ink")), "word_id")
+    both = both.withColumn("fused", _unit(F.zip_with("raw", "ink", lambda a, b: a + b)))
+    return keyed.select("word_id", "folio", "source_index", "eva", "site_class", "line_start").join(both, "word_id")
+
+
+def _unit(vec: str | Column) -> Column:
+    wide = (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
+    return F.transform(wide, lambda x: x / (F.sqrt(dot(wide, wide)) + 1e-9))
+
+
+def augmented_stability(given: Inputs, rows: DataFrame, found: DataFrame, least: int = 10, folios: int = 3, most: int = 80, each: int = 12) -> DataFrame:
+    """One row (tested, own_rate, mean_cosine): how often altered pictures of members fall to their own cluster's centre.
+
+    Of the first `most` clusters of at least `least` members on `folios` folios, the crops of the first `each` members
+    are cut again, altered in four ways and embedded. Without such clusters the rates are null.
+    """
+    placed = rows.join(found.where("cluster_id >= 0").select(F.col("id").alias("proposal_id"), "cluster_id"), "proposal_id")
+    eligible = placed.groupBy("cluster_id").agg(F.count("*").alias("size"), F.count_distinct("folio").alias("folios")).where((F.col("size") >= least) & (F.col("folios") >= folios))
+    members = cut(placed.join(eligible.orderBy("cluster_id").limit(most).select("cluster_id"), "cluster_id"))
+    if members.isEmpty():
+        return rows.sparkSession.createDataFrame([(0, None, None)], "tested bigint, own_rate double, mean_cosine double")
+    order = Window.partitionBy("cluster_id").orderBy("folio", "source_index", "proposal_index")
+    picked = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    again = imaging.crops(given.images, picked.select(F.col("canvas_index").cast("string").alias("key"), F.col("proposal_id").alias("item"), F.col("derivative_xywh").alias("box")), "key")
+    variants = imaging.embedded(imaging.varied(again.withColumnRenamed("item", "id")), ["id", "kind"], given.model)
+    return audit.stability(members.select(F.col("proposal_id").alias("id"), "vec", "cluster_id"), variants, "id", "vec")
+
+
 def verdict(given: Inputs, not_hand: bool = False, visual_audit: bool = False) -> DataFrame:
     """(value): the summary line of a whole run: counts, measures and the gate."""
     chosen = cut(registered(given))
-    rows = cut(proposal_crops(given, cut(words(given, chosen))))
+    word_rows = cut(words(given, chosen))
+    rows = cut(proposal_crops(given, word_rows))
+    seen = cut(word_vectors(given, word_rows))
     found, edges, _ = audit.discovered(rows, "proposal_id", "vec")
     found = cut(found)
     leaf = leaf_base(F.col("folio"))["n"]
     held = audit.holdout_test(rows, "proposal_id", "vec", "folio", leaf)
     again = held.first().asDict().get("fraction")
-    tests = audit.variant_function_test(rows, "eva", "proposal_id", "vec", "folio", "line_start").agg(F.count_if("significant").alias("significant"))
-    members = rows.select(F.col("proposal_id").alias("id"), "vec").join(found.where("cluster_id >= 0").select("id", "cluster_id"), "id")
-    stable = audit.stability(cut(members), members.select("id", "vec"), "id", "vec").select(F.col("own_rate").alias("stability"))
+    tests = audit.variant_function_test(seen, "eva", "word_id", "ink", "folio", "line_start").agg(F.count_if("significant").alias("significant"))
+    stable = augmented_stability(given, rows, found).select(F.col("own_rate").alias("stability"), F.col("tested").alias("variants_tested"))
+    audits = [audit.word_audit(seen, "word_id", kind, "eva", "folio").select(F.struct("*").alias(f"words_{kind}")) for kind in ("raw", "ink", "fused")]
+    audits.append(audit.leakage(seen, "ink", "site_class", "folio").select(F.struct("*").alias("leakage")))
     measures = stable.join(F.broadcast(tests), how="full").withColumn("recurrence", F.lit(again).cast("double"))  # one row each
     counted = audit.gate(measures, not_hand, visual_audit).withColumn("proposals", F.lit(rows.count())).withColumn("mutual_edges", F.lit(edges.count())).withColumn("clusters", F.lit(found.where("cluster_id >= 0").select("cluster_id").distinct().count())).withColumn("accepted_pages", F.lit(chosen.where("accepted").count()))
-    return sinks.summary_line(counted)
+    for one in audits:
+        counted = counted.join(F.broadcast(one), how="full")  # one row each
+    return sinks.summary_line(counted.withColumn("words", F.lit(word_rows.count())))

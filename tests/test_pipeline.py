@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirework.operators import stats
@@ -55,6 +56,27 @@ def test_words_to_verdict(given):
     assert end["admitted"] is False and end["accepted_pages"] == 1 and end["proposals"] == rows.count()
 
 
+def test_words_are_embedded_and_audited(given):
+    seen = pipeline.word_vectors(given, pipeline.words(given, pipeline.registered(given)))
+    assert seen.count() == 12 and seen.where("size(raw) = 64 AND size(ink) = 64 AND size(fused) = 64").count() == 12
+    assert seen.where("raw <> ink").count() > 0
+    end = json.loads(pipeline.verdict(given).first()["value"].removeprefix("FINAL_SUMMARY_JSON="))
+    assert end["words"] == 12 and all(end[f"words_{kind}"]["n"] == 12 for kind in ("raw", "ink", "fused")) and end["leakage"]["status"] == "insufficient"
+
+
+def test_stability_is_of_altered_pictures(given, spark):
+    chosen = pipeline.registered(given)
+    rows = pipeline.proposal_crops(given, pipeline.words(given, chosen)).where("proposal_type = 'window'")
+    few = rows.orderBy("proposal_id").limit(20).withColumn("n", F.row_number().over(Window.orderBy("proposal_id"))).withColumn("folio", F.concat(F.lit("f"), F.col("n") % 3)).cache()
+    found = few.select(F.col("proposal_id").alias("id"), F.lit(0).alias("cluster_id"))
+    n = few.count()
+    assert n >= 10
+    got = pipeline.augmented_stability(given, few, found).first()
+    assert got["tested"] == 4 * min(n, 12) and got["own_rate"] == 1.0 and got["mean_cosine"] < 1
+    assert pipeline.augmented_stability(given, few.withColumn("folio", F.lit("f1r")), found).first()["tested"] == 0
+    assert pipeline.augmented_stability(given, few.limit(9), found).first()["own_rate"] is None
+
+
 def test_contact_sheet(spark):
     picks = spark.createDataFrame([(0, 0, 4, 2, b"\0" * 8), (1, 0, 0, 0, b"")], "cluster int, pick int, width int, height int, data binary")
     assert sinks.contact_sheet(picks).startswith(b"\x89PNG") and sinks.contact_sheet(picks.limit(0)).startswith(b"\x89PNG")
