@@ -143,6 +143,15 @@ def test_described(spark):
     assert top["mean_centroid_cosine"] == pytest.approx(np.mean([m @ centre for m in members]), abs=1e-5)
 
 
+def test_typical_are_the_members_most_alike_to_all(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=64) + rng.normal(size=(60, 64)) * np.linspace(0.4, 0.05, 60)[:, None]).astype(np.float32)
+    top = max(spectral.described(table(spark, np.arange(60), x).withColumnRenamed("id", "folio")).collect(), key=lambda r: r["size"])
+    assert top["size"] == 60
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert top["typical"] == np.lexsort((np.arange(60), -np.round(u @ u.sum(0), 6)))[:5].tolist()
+
+
 def test_large_clusters_are_measured_in_blocks(spark):
     ids, x = vectors(3, 6, 90)
     labels = spark.createDataFrame([(int(i), 1) for i in ids[:90]], "id long, label long")
