@@ -152,6 +152,23 @@ def test_typical_are_the_members_most_alike_to_all(spark):
     assert top["typical"] == np.lexsort((np.arange(60), -np.round(u @ u.sum(0), 6)))[:5].tolist()
 
 
+def test_no_point_has_a_nearer_centre(spark):
+    rng = np.random.default_rng(12)
+    pairs = {(min(a, b), max(a, b)) for a, b in zip(rng.integers(0, 300, 500).tolist(), rng.integers(0, 300, 500).tolist()) if a != b}
+    assert spectral.ROUNDS >= 6 and spectral.TOUCHING <= 0.3  # fewer and wider merge unlike centres by chance
+    links = spark.createDataFrame([(a, b, 820_000 + (a * b) % 180_000) for a, b in sorted(pairs)], "lo long, hi long, micro int")
+    labels, named = spectral.clusters(links)
+    label = {r["id"]: r["label"] for r in labels.collect()}
+    at = {r["id"]: np.array([r[c] for c in spectral._coordinates()]) for r in spectral.embedding(links).collect()}
+    centre = {c: np.mean([at[i] for i in at if label[i] == c], 0) for c in set(label.values())}
+    linked = named.collect()
+    assert all(label[r["lo"]] == r["one"] and label[r["hi"]] == r["two"] for r in linked)
+    assert sum(r["one"] != r["two"] for r in linked) > 0
+    for r in linked:
+        for i, other in ((r["lo"], r["two"]), (r["hi"], r["one"])):
+            assert np.linalg.norm(at[i] - centre[label[i]]) <= np.linalg.norm(at[i] - centre[other]) + 1e-8
+
+
 def test_large_clusters_are_measured_in_blocks(spark):
     ids, x = vectors(3, 6, 90)
     labels = spark.createDataFrame([(int(i), 1) for i in ids[:90]], "id long, label long")
