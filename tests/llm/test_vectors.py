@@ -131,6 +131,21 @@ def test_closed_groups(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and not any(v >= 9100 for v, _ in got)
 
 
+def test_a_single_link_outside_is_found(spark):
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    g, h = q[0] + 0.05 * q[2:22], q[1] + 0.05 * q[22:42]
+    m, v = q[0] + 0.45 * q[1], q[1] + 0.45 * q[0]
+    x = np.r_[g, [m], h, [v], q[50] + 0.05 * q[52:58]].astype(np.float32)
+    _, s = cosines(np.arange(len(x)), x)
+    assert (s[:21, 21:42] >= 0.7).sum() == 1
+    least = float(s[20, 41]) - 0.001
+    members = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
+    df = table(spark, np.arange(len(x)), x)
+    assert {r["label"] for r in spectral.leaking(df, members, least, "vec_id", "vec").collect()} == {0, 21}
+    assert {r["vec_id"] for r in spectral.closed_groups(df, least).collect()} <= set(range(42, 48))
+
+
 def test_described(spark):
     ids, x = vectors(20, 5, 60)
     df = table(spark, ids, x).withColumnRenamed("id", "folio")
