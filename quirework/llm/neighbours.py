@@ -80,7 +80,10 @@ def choose_pivots(rows: DataFrame, n: int, index: Index) -> tuple[np.ndarray, di
     """
     wanted = min(MOST_PIVOTS, max(16, math.ceil(index.pivots * math.sqrt(n))))
     rate = min(1.0, index.sample * wanted / max(n, 1))
-    drawn = rows.where(position("id", salt="pivot") < F.lit(int(rate * SPAN))).orderBy(position("id", salt="pivot"), "id").limit(index.sample * MOST_PIVOTS).toPandas()
+    ordered = position("id", salt="pivot"), "id"
+    drawn = rows.where(position("id", salt="pivot") < F.lit(int(rate * SPAN))).orderBy(*ordered).limit(index.sample * MOST_PIVOTS).toPandas()
+    if rate < 1 and drawn["id"].nunique() < wanted:
+        drawn = rows.orderBy(*ordered).limit(index.sample * wanted).toPandas()
     if drawn.empty:
         return np.zeros((0, index.dim), np.float32), {}
     unit = _unit(np.stack(drawn.drop_duplicates("id")["vec"].to_numpy()).astype(np.float32))
@@ -239,7 +242,7 @@ def _searcher(k: int, least: int, index: Index) -> Callable[[tuple, pd.DataFrame
 def prepared(df: DataFrame, key: str, vec: str, index: Index) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
     """The usable rows, the pivots and the blocks of hot lists."""
     rows = one_vector_each(usable_vectors(shipped(df), key, vec, index.dim))
-    pivots, blocks = choose_pivots(rows, df.count(), index)
+    pivots, blocks = choose_pivots(rows, rows.select("id").distinct().count(), index)
     return rows, pivots, blocks
 
 

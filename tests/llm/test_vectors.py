@@ -101,6 +101,12 @@ def test_one_id_with_several_vectors_counts_once(spark):
     assert a == found(neighbours.nearest(table(spark, ids, x, other).repartition(5), 3, 0.5))
 
 
+def test_few_usable_rows_have_pivots(spark):
+    ids, x = vectors(1, 3, 20)
+    rows = neighbours.usable_vectors(table(spark, ids, x), "vec_id", "vec", 64)
+    assert len(neighbours.choose_pivots(rows, 100_000_000, neighbours.Index())[0]) > 0
+
+
 def test_empty(spark):
     empty = table(spark, np.zeros(0, int), np.zeros((0, 64)))
     assert neighbours.nearest(empty).collect() == [] and neighbours.near_pairs(neighbours.nearest(empty)).collect() == []
