@@ -105,16 +105,26 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mix, rates, targets)
 
 
+def _model(spark: SparkSession, d: str):
+    return languages.train(table(spark, d, "lang_samples"), table(spark, d, "documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return languages.wrong_labels(documents, languages.train(table(spark, d, "lang_samples"), documents))
+    return languages.wrong_labels(table(spark, d, "documents"), _model(spark, d))
+
+
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_segments(table(spark, d, "documents").select("doc_id", "text"), _model(spark, d))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language with its confidence, and the number of its segments."""
+    return _read(spark, d).select("doc_id", "language", "confidence", F.size("segments").cast("bigint").alias("segments"))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Each stretch of each text that holds a sentence, in its place, with its language."""
-    documents = table(spark, d, "documents")
-    read = languages.document_segments(documents.select("doc_id", "text"), languages.train(table(spark, d, "lang_samples"), documents))
-    return read.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.lang", "s.words", "s.confidence", "s.text")
+    """Each stretch of each text, in its place, with its language and confidence."""
+    return _read(spark, d).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
 
 
 QUERIES = {
@@ -137,6 +147,7 @@ QUERIES = {
     "p9_mix": p9_mix,
     "p9_report": p9_report,
     "p10_found": p10_found,
+    "p10_documents": p10_documents,
     "p10_segments": p10_segments,
 }
 

@@ -1,12 +1,13 @@
 """Tokens and languages."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import languages, tokens
+from quirework.llm import languages, machines, tokens
 
 DOCS = "doc_id long, text string, ids string, doc string"
 
@@ -65,14 +66,17 @@ def model():
         "pt": "a folha copiada mostra uma fila de pequenos círculos atrás da tira e ninguém o explicou até agora",
         "ru": "скопированный лист показывает ряд маленьких кругов за полоской и никто этого пока не объяснил",
     }
-    examples = [(lang, text.split()) for lang, text in said.items() for _ in range(5)]
-    examples += [("none", "qokeedy chol daiin shedy otaiin chedy".split())] * 5
-    found = languages._measured(languages.fit(examples, epochs=8), examples[:45])
-    return found, said
+    examples = [(lang, text.split()) for lang, text in said.items()]
+    made = machines.fit([(lang, words, 3.0) for lang, words in examples] + [("zxx", "qokeedy chol daiin shedy otaiin chedy".split(), 3.0)])
+    return machines.measured(made, examples), said
 
 
-def said_in(model, text, **kw):
-    return [s[0] for s in languages.segments(model, text, **kw)]
+def told(model, text):
+    return languages.segments(model, [text])[0][0]
+
+
+def said_in(model, text):
+    return [s["lang"] for s in told(model, text) if s["sentences"]]
 
 
 def test_every_language_and_mixed_texts(model):
@@ -91,10 +95,52 @@ def test_what_is_no_sentence(model):
     assert said_in(m, f"{said['en'][:50]} («{said['ru'][:33]}») {said['en'][50:]}.") == ["en"]
 
 
-def test_confidence_rises_with_the_margin(model):
+def test_short_stretches_keep_a_language_and_low_confidence(model):
+    m, said = model
+    (short,) = told(m, "the copied leaf")
+    (long,) = told(m, said["en"])
+    assert (short["lang"], short["words"], short["sentences"]) == ("en", 3, 0) and 0.5 <= short["confidence"] <= 1
+    assert long["words"] == len(said["en"].split()) and long["sentences"] == 1 and languages.SURE <= long["confidence"] <= 1
+
+
+def test_segments_lie_where_they_say(model):
     m, said = model
-    (lang, words, sure, text), = languages.segments(m, said["ru"])
-    assert lang == "ru" and words == len(said["ru"].split()) and 0.58 <= sure <= 1 and text
+    text = f"<p>{said['en'].capitalize()}.</p>\n{said['ru'][:40]}-\n{said['ru'][40:]}… «{said['de'][:33]}» \U0001f600 {said['fr']}"
+    found = told(m, text)
+    assert [s["lang"] for s in found if s["sentences"]] == ["en", "ru", "fr"]
+    assert all(text[s["begin"] : s["end"]] == s["text"] for s in found) and found[0]["begin"] == 3
+    assert all(a["end"] <= b["begin"] for a, b in zip(found, found[1:]))
+
+
+def test_the_language_of_a_text(model):
+    m, said = model
+    _, whole = languages.segments(m, [f"{said['en']}. {said['en']}. {said['ru'][:20]}", "", None, "qokeedy chol daiin shedy otaiin chedy", "?!", said["la"]])
+    assert [lang for lang, _ in whole] == ["en", "zxx", "zxx", "zxx", "zxx", "la"] and whole[1][1] == whole[2][1] == whole[4][1] == 0.0
+
+
+def test_the_family_is_decided_first(model):
+    m, _ = model
+    n, pairs = machines.N_FAMILIES, len(machines.PAIRS)
+    means = np.zeros((1, n + pairs), np.float32)
+    means[0, :n] = [-1, -0.2, -1, -0.1]  # no family but "none" is ahead, however sure a pair is
+    means[0, n:] = 50
+    assert machines.LANGUAGES[machines.decided(means)[0][0]] == "zxx"
+    means[0, :n] = [0.2, 0.1, -1, -1]
+    assert machines.LANGUAGES[machines.decided(means)[0][0]] == "de"
+    means[0, n : n + 3] = [-0.1, 0.1, 9.0]  # de-en for en, de-nl for de, en-nl for en: two votes of three
+    assert machines.LANGUAGES[machines.decided(means)[0][0]] == "en"
+
+
+def test_paths_equal_a_plain_search(model):
+    rng = np.random.default_rng(4)
+    lens = np.array([3, 1, 7, 2, 7])
+    scores = rng.normal(size=(lens.sum(), 3)).astype(np.float32)
+    got, at = machines.best_paths(scores, lens, 1.5), 0
+    for n in lens:
+        here = scores[at : at + n]
+        best = max(itertools.product(range(3), repeat=int(n)), key=lambda p: sum(here[t, s] for t, s in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:])))
+        assert got[at : at + n].tolist() == list(best)
+        at += n
 
 
 def test_labels(spark):
@@ -106,11 +152,13 @@ def test_labels(spark):
 def test_wrong_labels(spark, model):
     m, said = model
     texts = [(1, said["en"], "en"), (2, said["en"], "de"), (3, f"{said['en']}. {said['ru']}.", "en"), (4, "f1r", "de"), (5, None, "de"), (6, said["fr"], None), (None, said["fr"], "de"), (7, said["en"], "EN")]
-    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumn("segments", F.lit(1)).withColumn("words", F.lit(2))
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumn("segments", F.lit(1)).withColumn("language", F.lit(2)).withColumn("said", F.lit(3)).withColumn("words", F.lit(2))
     assert {tuple(r) for r in languages.wrong_labels(df, m).collect()} == {(2, "en"), (3, "en"), (3, "ru"), (6, "fr")}
     assert languages.wrong_labels(df.limit(0), m).collect() == []
-    segments = languages.document_segments(df, m)
-    assert segments.where("doc_id = 5").first()["words"] == 2 and segments.where("doc_id IS NULL").count() == 1
+    read = languages.document_segments(df, m)
+    assert read.where("doc_id = 5").first()["words"] == 2 and read.where("doc_id IS NULL").count() == 1
+    assert {r["doc_id"]: r["language"] for r in read.where("doc_id IN (2, 5, 6)").collect()} == {2: "en", 5: "zxx", 6: "fr"}
+    assert languages.document_segments(df.limit(0), m).collect() == []
 
 
 def test_training_is_the_same_for_every_layout(spark, model):
@@ -118,10 +166,26 @@ def test_training_is_the_same_for_every_layout(spark, model):
     samples = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(said.items())], "sample_id int, lang string, text string")
     documents = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(said.items())] + [(50, None, "en"), (51, "<f1r.P1;X> qo.chol daiin", "en")], "doc_id long, text string, lang string")
     a, b = languages.train(samples, documents, 20), languages.train(samples.repartition(4), documents.repartition(3), 20)
-    assert np.array_equal(a.weights, b.weights) and a.margin == b.margin
+    assert np.array_equal(a.weights, b.weights) and (a.family_margin, a.pair_margin) == (b.family_margin, b.pair_margin)
+    assert languages.train(samples.limit(0), documents.limit(0)).weights.any() == False  # noqa: E712
+
+
+def test_examples_are_drawn_from_whole_texts(spark, model):
+    text = " ".join(f"sentence number{chr(97 + i // 26)}{chr(97 + i % 26)} of many words here." for i in range(600))
+    rows = spark.createDataFrame([(1, text, "en"), (2, "a " * 100, "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    got = {r["key"]: r["said"] for r in languages.examples(rows, "doc_id", F.col("lang"), 20, 40).collect()}
+    places = [text.index(s[1]) / len(text) for s in got[1]]
+    assert len(got[1]) == 20 and min(places) < 0.3 and max(places) > 0.7
+    assert [len(s) for s in got[2]] == [40, 40, 20] and 3 not in got
+    assert languages.drawn(rows, "doc_id", 1, "x").count() == 1
 
 
-def test_long_texts_are_read_whole(model):
+def test_long_texts_are_read_whole(model, monkeypatch):
     m, said = model
     text = " ".join([said["en"] + "."] * 400 + [said["ru"] + "."])
-    assert said_in(m, text) == ["en", "ru"]
+    whole = told(m, text)
+    assert [s["lang"] for s in whole] == ["en", "ru"]
+    monkeypatch.setattr(languages, "CHARACTERS", 1000)
+    parts = told(m, text)
+    assert [(s["lang"], s["words"], s["begin"], s["end"], s["sentences"]) for s in parts] == [(s["lang"], s["words"], s["begin"], s["end"], s["sentences"]) for s in whole]
+    assert told(m, "x" * 5000)[-1]["end"] == 5000
