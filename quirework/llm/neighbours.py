@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.hashing import SPAN, position
+from quirework.plans.lineage import cut
 from quirework.plans.workers import shipped
 
 MICRO = 1_000_000
@@ -25,6 +26,8 @@ MOST_PIVOTS = 8192
 AT_ONCE = 4_000_000  # similarities that a Python worker holds at once, about
 FULL = 2**15 - 1
 SLACK = 4e-6  # more than single precision can be off
+NARROW_SLACK = 3e-4  # more than 16-bit values can be off
+MARK_BITS = 38
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ class Index:
     block: int = 8192
     sample: int = 4  # rows drawn for each pivot wanted
     spread: float = 0.7
-    narrow: bool = False  # post unit vectors of 16-bit values, half the size; cosines are then off by up to 3e-4
+    narrow: bool = False  # post unit vectors of 16-bit values, half the size; cosines are then off by up to NARROW_SLACK
 
 
 NEAREST_INDEX = Index(block=32_768)  # a list of many blocks is posted once for each of them
@@ -64,14 +67,62 @@ def one_vector_each(rows: DataFrame) -> DataFrame:
     Repeated rows with one vector stay: they meet in the same lists and are dropped there, which spares a shuffle of all
     vectors. Only where ids with several vectors exist are the vectors shuffled.
     """
+    return _chosen(rows, _hashes(rows))
+
+
+def _hashes(rows: DataFrame) -> DataFrame:
+    """(id, h, several): the smallest hash of each id's vectors, and whether there are others."""
     hashes = rows.select("id", F.xxhash64("vec").alias("h")).groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("h2"))
-    several = hashes.where("h <> h2").select("id", "h")
+    return hashes.select("id", "h", (F.col("h") != F.col("h2")).alias("several"))
+
+
+def _chosen(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    several = hashes.where("several")
     if several.isEmpty():
         return rows
     chosen = several.select(F.col("id").alias("i"), "h")
     return rows.join(chosen, rows["id"] == chosen["i"], "left").where(F.col("h").isNull() | (F.col("h") == F.xxhash64("vec"))).select("id", "vec")
 
 
+def mark(column: str) -> Column:
+    """A hash of an id of MARK_BITS bits, so that sums of many tell sets of ids apart."""
+    return F.xxhash64(column).bitwiseAND(F.lit(2**MARK_BITS - 1))
+
+
+@dataclass
+class Prepared:
+    """The rows to post (id, vec, weight, mark), the copies that need no posting (id, rep), if any, the number of ids, pivots, and blocks of hot lists.
+
+    Of equal vectors the `copies` smallest ids are posted; the smallest of them (rep) stands for the rest: weight counts
+    it and them, and mark is the sum of their marks. So a vector that a third of the rows share is posted a few times.
+    """
+
+    rows: DataFrame
+    excess: DataFrame | None
+    n: int
+    pivots: np.ndarray
+    blocks: dict[int, int]
+
+
+def prepared(df: DataFrame, key: str, vec: str, index: Index, copies: int) -> Prepared:
+    usable = usable_vectors(shipped(df), key, vec, index.dim)
+    hashes = cut(_hashes(usable))
+    rows = _chosen(usable, hashes)
+    among = Window.partitionBy("h").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hot = hashes.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > copies).select("h")
+    excess = None
+    if not hot.isEmpty():
+        ranked = hashes.join(hot, "h").withColumn("place", F.row_number().over(among)).withColumn("rep", F.min("id").over(among))
+        excess = cut(ranked.where(F.col("place") > copies).select("id", "rep"))
+        rest = excess.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("more"), F.sum(mark("id")).alias("marks"))
+        rows = rows.join(excess.select("id"), "id", "left_anti").join(rest, "id", "left")
+        rows = rows.select("id", "vec", (1 + F.coalesce("more", F.lit(0))).cast("bigint").alias("weight"), (mark("id") + F.coalesce("marks", F.lit(0))).alias("mark"))
+    else:
+        rows = rows.select("id", "vec", F.lit(1).cast("bigint").alias("weight"), mark("id").alias("mark"))
+    n = hashes.count() - (excess.count() if excess is not None else 0)
+    return Prepared(rows, excess, n, *choose_pivots(rows.select("id", "vec"), n, index))
+
+
 def choose_pivots(rows: DataFrame, n: int, index: Index) -> tuple[np.ndarray, dict[int, int]]:
     """Pivots of unit length from a hash sample of the rows, and into how many blocks the lists of hot ones are cut.
 
@@ -125,7 +176,7 @@ def _nearest(unit: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
 
 
 def post(rows: DataFrame, pivots: np.ndarray, blocks: dict[int, int], index: Index) -> DataFrame:
-    """(list, one, two, own, id, data, perm): every vector in the list of each of its nearest pivots.
+    """(list, one, two, own, id, data, perm, ...): every vector in the list of each of its nearest pivots; other columns of rows go along.
 
     A list that is cut into b blocks holds a vector in the b tasks (one <= two) that pair its block with another.
     """
@@ -143,15 +194,18 @@ def post(rows: DataFrame, pivots: np.ndarray, blocks: dict[int, int], index: Ind
             data = pa.Array.from_buffers(pa.binary(width * dim), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
             marks = pa.Array.from_buffers(pa.binary(4 * perm.shape[1]), len(x), [None, pa.py_buffer(perm)]).cast(pa.binary())
             lists = pa.ListArray.from_arrays(np.arange(0, perm.size + 1, perm.shape[1], dtype=np.int32), perm.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), data, marks, lists], names=["id", "data", "perm", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, marks, lists, *batch.columns[2:]], names=["id", "data", "perm", "lists", *others])
 
-    posted = rows.mapInArrow(run, "id bigint, data binary, perm binary, lists array<int>").select("id", "data", "perm", F.explode("lists").alias("list"))
+    others = [c for c in rows.columns if c not in ("id", "vec")]
+    kinds = dict(rows.dtypes)
+    schema = "id bigint, data binary, perm binary, lists array<int>" + "".join(f", {c} {kinds[c]}" for c in others)
+    posted = rows.select("id", "vec", *others).mapInArrow(run, schema).select("id", "data", "perm", *others, F.explode("lists").alias("list"))
     if not blocks:
-        return posted.select("list", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), "id", "data", "perm")
+        return posted.select("list", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), "id", "data", "perm", *others)
     parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), F.col("list")), F.lit(1))
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("one"), F.greatest(own, j).alias("two"), own.alias("own")))
-    return posted.select("list", "id", "data", "perm", F.explode(tasks).alias("t")).select("list", "t.one", "t.two", "t.own", "id", "data", "perm")
+    return posted.select("list", "id", "data", "perm", *others, F.explode(tasks).alias("t")).select("list", "t.one", "t.two", "t.own", "id", "data", "perm", *others)
 
 
 class Block:
@@ -239,13 +293,6 @@ def _searcher(k: int, least: int, index: Index) -> Callable[[tuple, pd.DataFrame
     return run
 
 
-def prepared(df: DataFrame, key: str, vec: str, index: Index) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
-    """The usable rows, the pivots and the blocks of hot lists."""
-    rows = one_vector_each(usable_vectors(shipped(df), key, vec, index.dim))
-    pivots, blocks = choose_pivots(rows, rows.select("id").distinct().count(), index)
-    return rows, pivots, blocks
-
-
 def nearest(df: DataFrame, k: int = 5, least: float | None = None, key: str = "vec_id", vec: str = "vec", index: Index = NEAREST_INDEX) -> DataFrame:
     """(id, near, cosine, rank): up to k most similar other vectors of every usable vector, best first, ties to the smaller id.
 
@@ -254,12 +301,20 @@ def nearest(df: DataFrame, k: int = 5, least: float | None = None, key: str = "v
     approximate: what shares no list is not found (the README has the recall). An empty table gives an empty one.
     """
     floor = -MICRO if least is None else round(least * MICRO)
-    rows, pivots, blocks = prepared(df, key, vec, index)
+    ready = prepared(df, key, vec, index, k + 1)
     empty = df.sparkSession.createDataFrame([], "id bigint, near bigint, cosine double, rank int")
-    if not len(pivots):
+    if not len(ready.pivots):
         return empty
-    found = post(rows, pivots, blocks, index).groupBy("list", "one", "two").applyInPandas(_searcher(k, floor, index), "id bigint, near bigint, micro int")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("micro"), "near"))).where(F.col("rank") <= k)
+    posted = post(ready.rows.select("id", "vec"), ready.pivots, ready.blocks, index)
+    found = posted.groupBy("list", "one", "two").applyInPandas(_searcher(k, floor, index), "id bigint, near bigint, micro int")
+    best = Window.partitionBy("id").orderBy(F.desc("micro"), "near")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if ready.excess is not None:
+        # a copy beyond the k + 1 smallest has the nearest of the smallest, and that one
+        ranked = cut(ranked)
+        own = ready.excess.select("id", F.col("rep").alias("near"), F.lit(MICRO).alias("micro"))
+        others = ready.excess.join(ranked.select(F.col("id").alias("rep"), "near", "micro"), "rep").select("id", "near", "micro")
+        ranked = ranked.unionByName(own.unionByName(others).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     return ranked.select("id", "near", (F.col("micro") / F.lit(float(MICRO))).alias("cosine"), "rank")
 
 

@@ -137,21 +137,66 @@ def test_closed_groups(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and not any(v >= 9100 for v, _ in got)
 
 
-def test_a_single_link_outside_is_found(spark):
+def pair_of_groups():
     rng = np.random.default_rng(3)
     q = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     g, h = q[0] + 0.05 * q[2:22], q[1] + 0.05 * q[22:42]
     m, v = q[0] + 0.45 * q[1], q[1] + 0.45 * q[0]
-    x = np.r_[g, [m], h, [v], q[50] + 0.05 * q[52:58]].astype(np.float32)
+    return np.r_[g, [m], h, [v], q[50] + 0.05 * q[52:58]].astype(np.float32)
+
+
+def test_a_single_link_outside_is_found(spark):
+    x = pair_of_groups()
     _, s = cosines(np.arange(len(x)), x)
     assert (s[:21, 21:42] >= 0.7).sum() == 1
     least = float(s[20, 41]) - 0.001
-    members = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
     df = table(spark, np.arange(len(x)), x)
-    assert {r["label"] for r in spectral.leaking(df, members, least, "vec_id", "vec").collect()} == {0, 21}
+    labels = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
+    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec"), df, least, "vec_id", "vec")
+    assert {r["id"] for r in got.collect()} == set(range(42, 48))
     assert {r["vec_id"] for r in spectral.closed_groups(df, least).collect()} <= set(range(42, 48))
 
 
+@pytest.mark.parametrize("above", [1e-5, -1e-5])
+def test_links_at_the_limit_are_decided_exactly(spark, above):
+    x = pair_of_groups()
+    _, s = cosines(np.arange(len(x)), x)
+    least = float(s[20, 41]) + above  # the stored 16 bits can't tell
+    df = table(spark, np.arange(len(x)), x)
+    labels = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
+    found = spectral.affinities(df, least, "vec_id", "vec")
+    assert (20, 41) in {(r["lo"], r["hi"]) for r in found.doubts.collect()}
+    got = {r["id"] for r in spectral.closed(labels, found, df, least, "vec_id", "vec").collect()}
+    assert (20 in got) == (above > 0) == (41 in got) or (s[:21, :21] + np.eye(21) * 9 < least).any()
+    assert {42, 47} <= got
+
+
+@pytest.mark.parametrize("pivots, block", [(0.25, 8192), (9.0, 8192), (9.0, 16)])
+def test_closed_whatever_the_lists(spark, pivots, block):
+    ids, x = vectors(40, 8, 60)
+    least, df = 0.82, table(spark, ids, x)
+    want = closed(ids, x, least)
+    label = dict(want) | {int(i): int(i) for i in ids if int(i) not in dict(want)}
+    labels = spark.createDataFrame(list(label.items()), "id long, label long")
+    index = neighbours.Index(posted=2, pivots=pivots, narrow=True, block=block, spread=2.0)  # many pivots: lists that not all members share
+    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec", index), df, least, "vec_id", "vec", index)
+    assert {(r["id"], r["cluster_key"]) for r in got.collect()} == want
+
+
+def test_copies_beyond_a_few_follow_the_smallest(spark):
+    ids, x = vectors(12, 5, 30)
+    x = np.r_[x, np.repeat(x[40:41], 300, 0)]
+    ids = np.r_[ids, 5000 + np.arange(300)]
+    df = table(spark, ids, x)
+    assert {(r["vec_id"], r["cluster_key"]) for r in spectral.closed_groups(df).collect()} == closed(ids, x)
+    ready = neighbours.prepared(df, "vec_id", "vec", neighbours.Index(), 6)
+    assert ready.rows.count() == len(ids) - 295 and ready.excess.count() == 295 and ready.rows.agg({"weight": "sum"}).first()[0] == len(ids)
+    every = neighbours.Index(posted=16, pivots=0.1)
+    assert found(neighbours.nearest(df, 5, 0.82, index=every)) == {i: js for i, js in brute(ids, x, 5, 0.82).items() if js}
+    top = max(spectral.described(df.withColumnRenamed("id", "folio")).collect(), key=lambda r: r["size"])
+    assert top["size"] > 300 and len(top["typical"]) == 5
+
+
 def test_described(spark):
     ids, x = vectors(20, 5, 60)
     df = table(spark, ids, x).withColumnRenamed("id", "folio")
@@ -177,21 +222,20 @@ def test_no_point_has_a_nearer_centre(spark):
     rng = np.random.default_rng(12)
     pairs = {(min(a, b), max(a, b)) for a, b in zip(rng.integers(0, 300, 500).tolist(), rng.integers(0, 300, 500).tolist()) if a != b}
     assert spectral.ROUNDS >= 6 and spectral.TOUCHING <= 0.3  # fewer and wider merge unlike centres by chance
-    links = spark.createDataFrame([(a, b, 820_000 + (a * b) % 180_000) for a, b in sorted(pairs)], "lo long, hi long, micro int")
-    labels, named = spectral.clusters(links)
-    label = {r["id"]: r["label"] for r in labels.collect()}
-    at = {r["id"]: np.array([r[c] for c in spectral._coordinates()]) for r in spectral.embedding(links).collect()}
+    links = spark.createDataFrame([(a, b, 820_000 + (a * b) % 180_000) for a, b in sorted(pairs)], "lo long, hi long, micro long")
+    label = {r["id"]: r["label"] for r in spectral.clusters(links).collect()}
+    assert label == {r["id"]: r["label"] for r in spectral.clusters(links.repartition(3)).collect()}
+    at = {r["id"]: np.array([r[c] / spectral.ONE for c in spectral.X]) for r in spectral.embedding(links).points.collect()}
+    assert set(at) == set(label) == {i for p in pairs for i in p}
     centre = {c: np.mean([at[i] for i in at if label[i] == c], 0) for c in set(label.values())}
-    linked = named.collect()
-    assert all(label[r["lo"]] == r["one"] and label[r["hi"]] == r["two"] for r in linked)
-    assert sum(r["one"] != r["two"] for r in linked) > 0
-    for r in linked:
-        for i, other in ((r["lo"], r["two"]), (r["hi"], r["one"])):
+    assert sum(label[a] != label[b] for a, b in pairs) > 0
+    for a, b in pairs:
+        for i, other in ((a, label[b]), (b, label[a])):
             assert np.linalg.norm(at[i] - centre[label[i]]) <= np.linalg.norm(at[i] - centre[other]) + 1e-8
 
 
-def test_large_clusters_are_measured_in_blocks(spark):
+def test_larger_clusters_are_described_in_blocks(spark):
     ids, x = vectors(3, 6, 90)
-    labels = spark.createDataFrame([(int(i), 1) for i in ids[:90]], "id long, label long")
-    whole, cut = (spectral.measured(table(spark, ids, x), labels, 0.82, "vec_id", "vec", neighbours.Index(block=b)).collect() for b in (8192, 20))
-    assert [tuple(r) for r in whole] == [tuple(r) for r in cut] and whole[0]["size"] == 90
+    df = table(spark, ids, x).withColumnRenamed("id", "folio")
+    whole, cut = ({r["cluster_key"]: r for r in spectral.described(df, block=b).collect()} for b in (8192, 20))
+    assert whole == cut and max(r["size"] for r in whole.values()) == 90
