@@ -152,7 +152,7 @@ def test_a_single_link_outside_is_found(spark):
     least = float(s[20, 41]) - 0.001
     df = table(spark, np.arange(len(x)), x)
     labels = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
-    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec"), df, least, "vec_id", "vec")
+    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec"), least)
     assert {r["id"] for r in got.collect()} == set(range(42, 48))
     assert {r["vec_id"] for r in spectral.closed_groups(df, least).collect()} <= set(range(42, 48))
 
@@ -166,7 +166,7 @@ def test_links_at_the_limit_are_decided_exactly(spark, above):
     labels = spark.createDataFrame([(i, 0 if i < 21 else 21 if i < 42 else 42) for i in range(len(x))], "id long, label long")
     found = spectral.affinities(df, least, "vec_id", "vec")
     assert (20, 41) in {(r["lo"], r["hi"]) for r in found.doubts.collect()}
-    got = {r["id"] for r in spectral.closed(labels, found, df, least, "vec_id", "vec").collect()}
+    got = {r["id"] for r in spectral.closed(labels, found, least).collect()}
     assert (20 in got) == (above > 0) == (41 in got) or (s[:21, :21] + np.eye(21) * 9 < least).any()
     assert {42, 47} <= got
 
@@ -179,7 +179,7 @@ def test_closed_whatever_the_lists(spark, pivots, block):
     label = dict(want) | {int(i): int(i) for i in ids if int(i) not in dict(want)}
     labels = spark.createDataFrame(list(label.items()), "id long, label long")
     index = neighbours.Index(posted=2, pivots=pivots, narrow=True, block=block, spread=2.0)  # many pivots: lists that not all members share
-    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec", index), df, least, "vec_id", "vec", index)
+    got = spectral.closed(labels, spectral.affinities(df, least, "vec_id", "vec", index), least, index)
     assert {(r["id"], r["cluster_key"]) for r in got.collect()} == want
 
 
