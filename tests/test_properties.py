@@ -36,11 +36,14 @@ def test_components_are_flood_fills(mask):
 @given(st.lists(st.tuples(number, number, st.floats(1, 40), st.floats(1, 40)), max_size=40))
 @settings(deadline=None)
 def test_every_box_has_one_line_and_order_is_free(boxes):
-    rows = [(i, *b) for i, b in enumerate(boxes)]
-    found = fold_lines(rows)
-    assert sorted(i for i, _ in found) == list(range(len(rows)))
-    assert {n for _, n in found} == set(range(len({n for _, n in found})))
-    assert sorted(found) == sorted(fold_lines(rows[::-1]))
+    rows = np.array([(i, *b) for i, b in enumerate(boxes)]).reshape(-1, 5)
+
+    def found(rows):
+        return sorted(zip(*(v.tolist() for v in fold_lines(rows[:, 0].astype(int), rows[:, 1], rows[:, 2], rows[:, 4]))))
+
+    assert [i for i, _ in found(rows)] == list(range(len(rows)))
+    assert {n for _, n in found(rows)} == set(range(len({n for _, n in found(rows)})))
+    assert found(rows) == found(rows[::-1])
 
 
 @given(st.tuples(*[st.floats(-50, 150)] * 4), st.floats(1, 100), st.floats(1, 100))
