@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quirework.plans.lineage import cut
 from quirework.plans.prefix import running_sum
 
+RANGES = 256
+
 
 def similarity_threshold(knn: DataFrame, floor: float, q: float) -> DataFrame:
     """One row (threshold): the q quantile of all similarities, but at least the floor; null without neighbours."""
@@ -37,10 +39,17 @@ def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
 
 
 def numbered_clusters(labels: DataFrame, least: int, most: int) -> DataFrame:
-    """(id, component, size, cluster_id): components of a size within bounds, numbered from 0 by falling size, then smallest id; others are -1."""
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    valid = sizes.where(F.col("size").between(least, most)).withColumn("falling", -F.col("size")).withColumn("one", F.lit(1))
-    valid = running_sum(valid, "one", "number", "falling", ["component"]).withColumn("cluster_id", F.col("number") - 1)
+    """(id, component, size, cluster_id): components of a size within bounds, numbered from 0 by falling size, then smallest id; others are -1.
+
+    Most components are of a few small sizes, so each size is cut into ranges of ids, which are numbered in tasks of their own.
+    """
+    sizes = cut(labels.groupBy("component").agg(F.count("*").alias("size")))
+    valid = sizes.where(F.col("size").between(least, most))
+    ends = valid.agg(F.min("component").alias("a"), F.max("component").alias("b")).first()
+    width = max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // RANGES + 1)
+    place = F.floor((F.col("component") - F.lit(ends["a"] or 0)) / F.lit(width)).cast("bigint")
+    valid = valid.withColumn("bucket", (F.lit(most) - F.col("size")) * F.lit(RANGES + 1) + place).withColumn("one", F.lit(1))
+    valid = running_sum(valid, "one", "number", "bucket", ["component"]).withColumn("cluster_id", F.col("number") - 1)
     return labels.join(sizes, "component").join(valid.select("component", "cluster_id"), "component", "left").select("id", "component", "size", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id"))
 
 

@@ -1,15 +1,17 @@
-"""Exact nearest neighbours by cosine, in blocks."""
+"""Nearest neighbours by cosine: exact in blocks, or by an index of pivot permutations where there are too many rows for that."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.operators.pivots import Index, nearest
 from quirework.plans.workers import shipped
 
 BLOCK = 4096
@@ -71,6 +73,25 @@ def exact_knn(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int
     return ranked.where(F.col("rank") <= k)
 
 
+EXACT_UPTO = 5000
+# many lists a row, as audits ask for a hundred neighbours that need not be alike
+WIDE_INDEX = Index(posted=8, spread=0.9, block=32_768)
+
+
+def nearest_rows(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 11, exact_upto: int = EXACT_UPTO, index: Index = WIDE_INDEX) -> DataFrame:
+    """(i, j, sim, rank): exact_knn of up to exact_upto rows; of more, what the index finds, whose work doesn't grow with the rows squared.
+
+    The index takes vectors of one length, that of the first; others, and those that aren't finite or all zero, have no
+    neighbours there. Its cosines are rounded to 6 decimals.
+    """
+    usable = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
+    if usable.limit(exact_upto + 1).count() <= exact_upto:
+        return exact_knn(df, key, vec, k)
+    dim = usable.select(F.size(vec)).first()[0]
+    found = nearest(df, k, None, key, vec, replace(index, dim=dim))
+    return found.select(F.col("id").alias("i"), F.col("near").alias("j"), F.col("cosine").alias("sim"), "rank")
+
+
 def pair_histogram(df: DataFrame, key: str, vec: str, label: str, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(score, same, different): how many pairs of rows of one label, and of two, have a cosine, rounded; null labels pair with none.
 

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.hashing import position
+from quirework.functions.hashing import SPAN, position
+from quirework.plans.lineage import cut
 from quirework.plans.prefix import running_sum
 
 
+BUCKETS = 4096
+
+
 def auc_of_histogram(counts: DataFrame) -> DataFrame:
     """One row (auc, positives, negatives) from (score, same, different): ties count half; null without both kinds.
 
-    One window runs over the distinct scores, whose number is bounded by their rounding.
+    Scores are cut into ranges, each summed up in a task of its own.
     """
-    below = F.coalesce(F.sum("different").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.select("same", "different", (F.col("same") * (below + F.col("different") / 2)).alias("won"))
+    ends = counts.agg(F.min("score").cast("double").alias("a"), F.max("score").cast("double").alias("b")).first()
+    low, width = ends["a"] or 0.0, max(((ends["b"] or 0.0) - (ends["a"] or 0.0)) / BUCKETS, 1e-300)
+    placed = counts.withColumn("__b", F.floor((F.col("score") - F.lit(low)) / F.lit(width)).cast("bigint"))
+    won = running_sum(placed, "different", "__upto", "__b", ["score"]).select("same", "different", (F.col("same") * (F.col("__upto") - F.col("different") / 2)).alias("won"))
     totals = won.agg(F.sum("won").alias("won"), F.coalesce(F.sum("same"), F.lit(0)).alias("positives"), F.coalesce(F.sum("different"), F.lit(0)).alias("negatives"))
     pairs = F.col("positives").cast("double") * F.col("negatives")
     return totals.select(F.when(pairs > 0, F.col("won") / pairs).alias("auc"), "positives", "negatives")
@@ -44,34 +50,48 @@ def retrieval(knn: DataFrame, labels: DataFrame) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """Adds rank and significant: all tests up to the last whose p is at most alpha * rank / number.
 
-    tests has one row for each tested type: a report, ordered by one task. Null p-values are last and never significant.
+    Null p-values are last and never significant; ties are ordered by the other columns. Ranks are counted in ranges of p.
     """
-    ranked = tests.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last(p), *[c for c in tests.columns if c != p])))
-    m = F.count(p).over(Window.partitionBy(F.lit(0)))
-    last = F.max(F.when(F.col(p) <= alpha * F.col("rank") / m, F.col("rank"))).over(Window.partitionBy(F.lit(0)))
-    return ranked.withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False)) & F.col(p).isNotNull())
+    place = F.coalesce(F.floor(F.col(p) * F.lit(BUCKETS)).cast("bigint"), F.lit(2 * BUCKETS))
+    placed = tests.withColumn("__one", F.lit(1).cast("bigint")).withColumn("__b", place)
+    ranked = cut(running_sum(placed, "__one", "rank", "__b", [F.asc_nulls_last(p), *(F.col(f"`{c}`") for c in tests.columns if c != p)]).drop("__one", "__b"))
+    m = ranked.agg(F.count(p)).first()[0]
+    last = ranked.where(F.col(p) <= F.lit(alpha) * F.col("rank") / F.lit(max(m, 1))).agg(F.max("rank")).first()[0]
+    return ranked.withColumn("significant", (F.col("rank") <= F.lit(last or 0)) & F.col(p).isNotNull())
 
 
-def permutation_test(rows: DataFrame, group: str, side: str, flag: str, strata: list[str], key: str, draws: int = 200, seed: str = "408") -> DataFrame:
+def permutation_test(rows: DataFrame, group: str, side: str, flag: str, strata: list[str], draws: int = 200, seed: str = "408") -> DataFrame:
     """(group, n, observed, p): the gap in the rate of flag between the two sides, against shuffles of the sides within strata.
 
-    Shuffles are seeded hash orders: in each draw the k-th row of a stratum by key takes the side of the k-th by hash.
-    p = (1 + draws with at least the observed gap) / (1 + draws). A draw is a row of counts, so only ranks are shuffled.
+    p = (1 + draws with at least the observed gap) / (1 + draws). A shuffle only changes how many flagged rows of a stratum
+    the first side gets, and that number is hypergeometric: it is drawn from the counts, by the inverse of its
+    distribution at a seeded hash of draw, group and stratum. So a row takes part in one count, whatever the draws.
     """
-    base = rows.where(F.col(side).isNotNull() & F.col(flag).isNotNull()).select(F.col(group).alias("g"), *(F.col(s).alias(f"s{i}") for i, s in enumerate(strata)), F.col(key).alias("k"), F.col(side).cast("boolean").alias("side"), F.col(flag).cast("boolean").alias("flag"))
-    within = ["g", *(f"s{i}" for i in range(len(strata)))]
-    placed = base.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy("k")))
-    repeated = placed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    mixed = repeated.withColumn("at", F.row_number().over(Window.partitionBy(*within, "draw").orderBy(position("draw", "k", salt=seed), "k")))
-    lines = mixed.select(*within, "draw", F.col("at").alias("place"), F.col("side").alias("drawn"))
-    joined = placed.select(*within, "place", "flag").join(lines, [*within, "place"])
-
-    def gap(which: str):
-        return F.abs(F.avg(F.when(F.col(which), F.col("flag").cast("double"))) - F.avg(F.when(~F.col(which), F.col("flag").cast("double"))))
-
-    null = joined.groupBy("g", "draw").agg(gap("drawn").alias("gap"))
-    seen = base.groupBy("g").agg(F.count("*").alias("n"), gap("side").alias("observed"))
-    return null.join(seen, "g").groupBy("g").agg(F.first("n").alias("n"), F.first("observed").alias("observed"), ((1 + F.count_if(F.col("gap") >= F.col("observed") - 1e-12)) / (1 + F.count("*"))).alias("p")).select(F.col("g").alias(group), "n", "observed", "p")
+    names = ["g", *(f"s{i}" for i in range(len(strata)))]
+    base = rows.where(F.col(side).isNotNull() & F.col(flag).isNotNull()).select(F.col(group).alias("g"), *(F.col(s).alias(f"s{i}") for i, s in enumerate(strata)), F.col(side).cast("boolean").alias("side"), F.col(flag).cast("boolean").alias("flag"))
+    # n rows, k on the first side, f flagged, x both
+    counts = cut(base.groupBy(*names).agg(F.count("*").alias("n"), F.count_if("side").alias("k"), F.count_if("flag").alias("f"), F.count_if(F.col("side") & F.col("flag")).alias("x")))
+    n, k, f, t = (F.col(c) for c in ("n", "k", "f", "t"))
+    least = F.greatest(F.lit(0), f + k - n)
+    ratio = F.when(t > least, F.log((f - t + 1) * (k - t + 1) / (t * (n - f - k + t)))).otherwise(0.0)
+    along = Window.partitionBy(*names).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*names)
+    mass = counts.withColumn("t", F.explode(F.sequence(least, F.least(f, k)))).withColumn("log", F.sum(ratio).over(along))
+    mass = mass.withColumn("mass", F.exp(F.col("log") - F.max("log").over(whole)))
+    upto = mass.select(*names, (F.sum("mass").over(along) / F.sum("mass").over(whole)).alias("v"), F.lit(None).cast("bigint").alias("draw"), least.alias("least"))
+    spot = position("draw", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names), salt=seed) / F.lit(float(SPAN))
+    asked = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(*names, spot.alias("v"), F.col("draw").cast("bigint").alias("draw"), least.alias("least"))
+    # a draw takes the first value whose distribution exceeds the hash: as many as don't lie before it
+    before = F.count_if(F.col("draw").isNull()).over(Window.partitionBy(*names).orderBy("v", F.asc_nulls_first("draw")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    drawn = upto.unionByName(asked).withColumn("t", F.col("least") + before).where("draw IS NOT NULL").groupBy("g", "draw").agg(F.sum("t").alias("x"))
+    sums = counts.groupBy("g").agg(*(F.sum(c).alias(c) for c in ("n", "k", "f")), F.sum("x").alias("seen"))
+
+    def gap(x: str):
+        first = F.when(k > 0, F.col(x) / k)
+        return F.abs(first - F.when(n > k, (f - F.col(x)) / (n - k)))
+
+    null = drawn.join(sums, "g").select("g", "n", gap("x").alias("gap"), gap("seen").alias("observed"))
+    return null.groupBy("g").agg(F.first("n").alias("n"), F.first("observed").alias("observed"), ((1 + F.count_if(F.col("gap") >= F.col("observed") - 1e-12)) / (1 + F.count("*"))).alias("p")).select(F.col("g").alias(group), "n", "observed", "p")
 
 
 def neighbour_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -85,7 +105,7 @@ def max_similarity(patches: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, score) of pairs (a, b): the mean, over the patches (id, patch, vec) of a, of the best cosine with a patch of b."""
     from quirework.functions.vectors import dot, norm
 
-    unit = patches.withColumn("vec", F.transform("vec", lambda x: x.cast("double") / norm(F.col("vec"))))
+    unit = patches.withColumn("vec", F.transform("vec", lambda x: x.cast("double") / F.greatest(norm(F.col("vec")), F.lit(1e-9))))
     sides = pairs.join(unit.select(F.col("id").alias("a"), F.col("patch").alias("pa"), F.col("vec").alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
     best = sides.groupBy("a", "b", "pa").agg(F.max(dot(F.col("va"), F.col("vb"))).alias("m"))
     return best.groupBy("a", "b").agg(F.avg("m").alias("score"))
