@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
+# The form of a folio key, and the part of an address that names an image in full.
 LEAF_KEY = r"^f([0-9]+)([rv])([0-9]+)?\z"
+FULL_IMAGE = r"/full/full/0/default\.jpg(\?.*)?$"
 
 
 def leaf_base(key: Column, strict: bool = False) -> Column:
@@ -29,7 +32,7 @@ def whole_token(label: Column, token: Column) -> Column:
 
 def derivative_url(body_id: Column, width: int) -> Column:
     """The address of an image in full, rewritten to one of the given width; other addresses stay."""
-    return F.regexp_replace(body_id, r"/full/full/0/default\.jpg(\?.*)?$", f"/full/{width},/0/default.jpg")
+    return F.regexp_replace(body_id, FULL_IMAGE, f"/full/{width},/0/default.jpg")
 
 
 def json_safe(value: Column) -> Column:
@@ -37,5 +40,25 @@ def json_safe(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
-def json_safe_list(values: Column) -> Column:
-    return F.transform(values, json_safe)
+def json_safe_as(value: Column, kind: DataType) -> Column:
+    """A value of any type with null for every number in it that is NaN or infinite, however deep in lists, maps and structs."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return json_safe(value)
+    if not _holds_numbers(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: json_safe_as(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: json_safe_as(x, kind.valueType))
+    fields = F.struct(*(json_safe_as(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields))
+    return F.when(value.isNotNull(), fields)
+
+
+def _holds_numbers(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_numbers(kind.elementType)
+    if isinstance(kind, MapType):
+        return _holds_numbers(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_holds_numbers(f.dataType) for f in kind.fields)
+    return isinstance(kind, (DoubleType, FloatType))

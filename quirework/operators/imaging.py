@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -142,7 +143,8 @@ def padded(grey: np.ndarray, least: int = 16) -> np.ndarray:
 def crops(images: DataFrame, boxes: DataFrame, key: str, normalise: bool = True) -> DataFrame:
     """(key, item, width, height, ink, components, data): the crops of images (key, image) at boxes (key, item, box), normalised or as they are.
 
-    image is Spark's image struct. Crops are cut and read in Arrow batches; boxes outside the image give empty crops.
+    image is Spark's image struct. Crops are cut and read in Arrow batches; boxes outside the image give empty crops, and
+    images that couldn't be decoded (null) give none.
     """
     kinds = dict(boxes.dtypes)
 
@@ -159,7 +161,7 @@ def crops(images: DataFrame, boxes: DataFrame, key: str, normalise: bool = True)
             yield pd.DataFrame(rows, columns=[key, "item", "width", "height", "ink", "components", "data"])
 
     schema = f"{key} {kinds[key]}, item {kinds['item']}, width int, height int, ink double, components array<struct<x:int,y:int,w:int,h:int,ink:int>>, data binary"
-    return shipped(boxes).join(images.select(key, "image"), key).select(key, "item", "box", "image").mapInPandas(run, schema)
+    return shipped(boxes).join(images.where("image IS NOT NULL").select(key, "image"), key).select(key, "item", "box", "image").mapInPandas(run, schema)
 
 
 def varied(crops_: DataFrame, kinds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
@@ -173,24 +175,66 @@ def varied(crops_: DataFrame, kinds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFram
     return every.withColumn("data", changed("width", "height", "data", "kind"))
 
 
-def embedded(crops_: DataFrame, keys: list[str], model: Column | None = None, dim: int = 64) -> DataFrame:
-    """(keys, vec): crops as vectors of unit length by an injected model, a column over (width, height, data).
+@dataclass(frozen=True)
+class Embedder:
+    """A model for crops. load is called once in each Python task and gives a function of a batch of grey pictures.
 
-    Without one a crop is its own small picture, padded and averaged to dim cells: a stand-in that needs no weights.
+    That returns an array (pictures, dim), or with dense=True one array (patches, dim) a picture. Rows need no unit length.
     """
-    if model is not None:
-        return crops_.select(*keys, model.alias("vec"))
+
+    load: Callable[[], Callable[..., np.ndarray | list[np.ndarray]]]
+    batch: int = 64
+    revision: str = ""
+    least_side: int = 16
+
+
+def _cells(grey: np.ndarray, side: int) -> np.ndarray:
+    rows = np.stack([part.mean(0) for part in np.array_split(grey.astype(np.float32), side, 0)])
+    return 255 - np.stack([part.mean(1) for part in np.array_split(rows, side, 1)], 1)
+
+
+def small_pictures(dim: int = 64, patches: int = 4) -> Embedder:
+    """A stand-in that needs no weights: a crop is its own small picture, averaged to dim cells; its patches are squares of that."""
     side = int(round(dim**0.5))
 
-    @F.pandas_udf("array<float>")
-    def shrunk(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
-        out = []
-        for w, h, raw in zip(width, height, data):
-            grey = padded(np.frombuffer(raw, np.uint8).reshape(h, w)).astype(np.float32)
-            rows = np.stack([part.mean(0) for part in np.array_split(grey, side, 0)])
-            cells = np.stack([part.mean(1) for part in np.array_split(rows, side, 1)], 1).ravel()
-            cells = 255 - cells
-            out.append((cells / max(float(np.sqrt((cells * cells).sum())), 1e-9)).tolist())
-        return pd.Series(out)
-
-    return shipped(crops_).select(*keys, shrunk("width", "height", "data").alias("vec"))
+    def load() -> Callable[..., np.ndarray | list[np.ndarray]]:
+        def run(pictures: list[np.ndarray], dense: bool = False) -> np.ndarray | list[np.ndarray]:
+            cells = [_cells(p, side) for p in pictures]
+            if not dense:
+                return np.stack([c.ravel() for c in cells])
+            return [np.stack([part.ravel() for row in np.array_split(c, patches, 0) for part in np.array_split(row, patches, 1)]) for c in cells]
+
+        return run
+
+    return Embedder(load, revision=f"small pictures of {dim}")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
+
+
+def embedded(crops_: DataFrame, keys: list[str], model: Column | Embedder | None = None, dim: int = 64, dense: bool = False) -> DataFrame:
+    """(keys, vec): crops as vectors of unit length, or with dense=True (keys, patches): each patch's vector.
+
+    model is an Embedder, small pictures if none is given, or for plain vectors a column over (width, height, data). Empty
+    crops are embedded as white ones. Batches never hold more than the model's batch.
+    """
+    if isinstance(model, Column):
+        return crops_.select(*keys, model.alias("vec"))
+    own = model or small_pictures(dim)
+    kinds = dict(crops_.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = own.load()
+        for batch in batches:
+            for at in range(0, len(batch), own.batch):
+                some = batch.iloc[at : at + own.batch]
+                pictures = [padded(np.frombuffer(raw, np.uint8).reshape(h, w), own.least_side) for w, h, raw in zip(some["width"], some["height"], some["data"])]
+                found = embed(pictures, dense=True) if dense else embed(pictures)
+                out = some[keys].copy()
+                out["patches" if dense else "vec"] = [_unit(f).tolist() for f in found]
+                yield out
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", patches array<array<float>>" if dense else ", vec array<float>")
+    return shipped(crops_).select(*keys, "width", "height", "data").mapInPandas(run, schema)

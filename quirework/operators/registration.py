@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.config import SCALE_RANGE, SCALES, Thresholds
+from quirework.functions import geometry
 from quirework.functions.text import leaf_base, leaf_tokens
 
 
@@ -33,12 +34,20 @@ def ratio_matches(near: DataFrame, ratio: float) -> DataFrame:
 
 
 def plausible(t: Thresholds = Thresholds()) -> Column:
+    """Whether the image lies where it can: mostly on the canvas, of a fitting size, under finite numbers."""
     finite = ~F.exists(F.flatten("homography_derivative"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (F.col("intersection_ratio") >= t.min_intersection) & F.col("target_area_ratio").between(*t.area_range) & finite
+    return at_least(F.col("intersection_ratio"), t.min_intersection) & F.col("target_area_ratio").between(*t.area_range) & finite
+
+
+def at_least(value: Column, limit: float | Column) -> Column:
+    """value >= limit, but false for NaN, which Spark takes for the largest number."""
+    return ~F.isnan(value) & (value >= limit)
 
 
 def accepted(t: Thresholds = Thresholds()) -> Column:
-    return F.coalesce(F.col("plausible_intersection") & (F.col("inliers") >= t.min_inliers) & (F.col("inlier_ratio") >= t.min_inlier_ratio) & (F.col("median_reprojection_px") <= t.max_median_px), F.lit(False))
+    """Whether a registration passes the gates; nulls and NaN don't."""
+    ratio = at_least(F.col("inlier_ratio"), t.min_inlier_ratio)
+    return F.coalesce(F.col("plausible_intersection") & (F.col("inliers") >= t.min_inliers) & ratio & (F.col("median_reprojection_px") <= t.max_median_px), F.lit(False))
 
 
 def merit(*tie: Column) -> Column:
@@ -95,12 +104,24 @@ def adjudicated(chosen: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select("folio", *(F.col(c).alias(f"__{c}") for c in rules.columns if c != "folio"))
     both = chosen.join(r, "folio", "left")
     fits = (F.col("candidate_index") == F.col("__candidate_index")) & (F.col("candidate_label") == F.col("__candidate_label"))
-    holds = fits & (F.col("inliers") >= F.col("__min_inliers")) & (F.col("inlier_ratio") >= F.col("__min_ratio")) & (F.col("median_reprojection_px") <= F.col("__max_median_px")) & F.col("__evidence")
+    holds = fits & (F.col("inliers") >= F.col("__min_inliers")) & at_least(F.col("inlier_ratio"), F.col("__min_ratio")) & (F.col("median_reprojection_px") <= F.col("__max_median_px")) & F.col("__evidence")
     gained = ~F.coalesce("accepted", F.lit(False)) & F.coalesce(holds, F.lit(False))
     basis = F.when(gained, "adjudicated").when(F.coalesce("accepted", F.lit(False)), "automatic")
     return both.select(*[F.col(c) for c in chosen.columns if c != "accepted"], (F.coalesce("accepted", F.lit(False)) | gained).alias("accepted"), basis.alias("acceptance_basis"))
 
 
+def reprojection(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, matches, inliers, inlier_ratio, median_reprojection_px, p95_reprojection_px) of matched points (keys, x1, y1, x2, y2, inlier) and their homography.
+
+    The errors are those of the inliers; points that the homography sends to infinity have none.
+    """
+    p = geometry.mapped_point(F.col("homography_derivative"), F.col("x1"), F.col("y1"))
+    error = F.when(F.col("inlier"), geometry.reprojection_error(F.col("p.x"), F.col("p.y"), F.col("x2"), F.col("y2")))
+    seen = matches.withColumn("p", p).withColumn("error", error)
+    inlier = F.col("inlier").cast("double")
+    return seen.groupBy(*keys).agg(F.count("*").cast("int").alias("matches"), F.count_if("inlier").cast("int").alias("inliers"), F.avg(inlier).alias("inlier_ratio"), F.median("error").alias("median_reprojection_px"), F.percentile("error", 0.95).alias("p95_reprojection_px"))
+
+
 def report(chosen: DataFrame) -> DataFrame:
     """One row of statistics over the accepted; null medians if there are none."""
     good = chosen.where("accepted")

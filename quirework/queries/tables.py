@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.config import CURRENT_LIMITS, leaf_pairs
 from quirework.functions import geometry as G
 from quirework.functions.folio import folio_form, folio_form_sql
-from quirework.functions.hashing import position_sql
+from quirework.functions.hashing import SPAN, position_sql
 from quirework.functions.text import derivative_url, json_safe, leaf_base, whole_token
 from quirework.operators import layout, proposals, registration, relational, stats
 from quirework.operators.audit import held_out
@@ -97,7 +97,7 @@ def band_join(spark, d):
 # registrations
 
 PLAUSIBLE = "(intersection_ratio >= 0.8 AND target_area_ratio BETWEEN 0.005 AND 1.5)"
-ACCEPTED = "coalesce(plausible_intersection AND inliers >= 50 AND CASE WHEN isnan(inlier_ratio) THEN true ELSE inlier_ratio >= 0.55 END AND (median_reprojection_px <= 3.0 AND NOT isnan(median_reprojection_px)), false)"
+ACCEPTED = "coalesce(plausible_intersection AND inliers >= 50 AND (inlier_ratio >= 0.55 AND NOT isnan(inlier_ratio)) AND (median_reprojection_px <= 3.0 AND NOT isnan(median_reprojection_px)), false)"
 
 
 @query(f"SELECT plausible_intersection AS plausible, {ACCEPTED} AS accepted, count(*) AS n FROM (SELECT DISTINCT reg_id, plausible_intersection, inliers, inlier_ratio, median_reprojection_px FROM registrations) GROUP BY ALL")
@@ -140,7 +140,7 @@ def accept_split(spark, d):
     return registration.accept_split(folios, _chosen(spark, d)).groupBy("accepted").agg(F.count("*").alias("folios"))
 
 
-@query(f"WITH {CHOSEN}, ru AS (SELECT folio, candidate_index, candidate_label FROM ch WHERE NOT coalesce(accepted, false) AND candidate_label IS NOT NULL) SELECT acceptance_basis, count(*) AS n FROM (SELECT CASE WHEN coalesce(accepted, false) THEN 'automatic' WHEN candidate_label IS NOT NULL AND candidate_index IS NOT NULL AND inliers >= 20 AND inlier_ratio >= 0.2 AND median_reprojection_px <= 6 AND NOT isnan(median_reprojection_px) THEN 'adjudicated' END AS acceptance_basis FROM ch) GROUP BY 1")
+@query(f"WITH {CHOSEN}, ru AS (SELECT folio, candidate_index, candidate_label FROM ch WHERE NOT coalesce(accepted, false) AND candidate_label IS NOT NULL) SELECT acceptance_basis, count(*) AS n FROM (SELECT CASE WHEN coalesce(accepted, false) THEN 'automatic' WHEN candidate_label IS NOT NULL AND candidate_index IS NOT NULL AND inliers >= 20 AND inlier_ratio >= 0.2 AND NOT isnan(inlier_ratio) AND median_reprojection_px <= 6 AND NOT isnan(median_reprojection_px) THEN 'adjudicated' END AS acceptance_basis FROM ch) GROUP BY 1")
 def rule_adjudication(spark, d):
     chosen = _chosen(spark, d)
     rules = chosen.where("NOT coalesce(accepted, false) AND candidate_label IS NOT NULL").select("folio", "candidate_index", "candidate_label", F.lit(20).alias("min_inliers"), F.lit(0.2).alias("min_ratio"), F.lit(6.0).alias("max_median_px"), F.lit(True).alias("evidence"))
@@ -155,6 +155,32 @@ def sanitize_nonfinite(spark, d):
     return table(spark, d, "registrations").select("reg_id", *(json_safe(F.col(c)).alias(c) for c in ("inlier_ratio", "median_reprojection_px"))).distinct()
 
 
+@query("""SELECT reg_id, intersection_ratio >= 0.8 AND NOT isnan(intersection_ratio) AND target_area_ratio >= 0.005 AND target_area_ratio <= 1.5 AND NOT isnan(target_area_ratio)
+ AND len(list_filter(flatten(homography_derivative), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS plausible FROM (SELECT DISTINCT reg_id, intersection_ratio, target_area_ratio, homography_derivative FROM registrations)""")
+def plausibility(spark, d):
+    """Whether each registration is plausible, from its own measures, not the stored flag."""
+    rows = table(spark, d, "registrations").select("reg_id", "intersection_ratio", "target_area_ratio", "homography_derivative").distinct()
+    return rows.select("reg_id", registration.plausible().alias("plausible"))
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Points of each registration and where they might have been found: 24 of a grid, the inliers off by less than the others."""
+    rows = table(spark, d, "registrations").select("reg_id", "homography_derivative").where("size(homography_derivative) = 3").distinct()
+    k = F.col("k")
+    grid = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("x1", (k % 6) * 40.0).withColumn("y1", F.floor(k / 6) * 30.0)
+    p = G.mapped_point(F.col("homography_derivative"), F.col("x1"), F.col("y1"))
+    off = F.when(k % 5 == 0, 9.0).otherwise((k % 7) * 0.4)
+    return grid.select("reg_id", "homography_derivative", "x1", "y1", (p["x"] + off).alias("x2"), (p["y"] - off / 2).alias("y2"), (k % 5 != 0).alias("inlier"))
+
+
+@query("""WITH r AS (SELECT DISTINCT reg_id, homography_derivative AS h FROM registrations WHERE len(homography_derivative) = 3), m AS (SELECT reg_id, k, CASE WHEN k % 5 = 0 THEN 9.0 ELSE (k % 7) * 0.4 END AS off, h[3][1] * ((k % 6) * 40.0) + h[3][2] * ((k // 6) * 30.0) + h[3][3] AS z FROM r, generate_series(0, 23) q(k)),
+ e AS (SELECT reg_id, k % 5 <> 0 AS inlier, CASE WHEN z <> 0 THEN sqrt(off * off + off * off / 4)::DOUBLE END AS error FROM m)
+ SELECT reg_id, count(*)::INT AS matches, count(*) FILTER (inlier)::INT AS inliers, round(avg(inlier::INT), 6) AS inlier_ratio, round(median(error) FILTER (inlier), 3) AS median_px, round(quantile_cont(error, 0.95) FILTER (inlier), 3) AS p95_px FROM e GROUP BY reg_id""")
+def reprojection_errors(spark, d):
+    found = registration.reprojection(_matches(spark, d), ["reg_id"])
+    return found.select("reg_id", "matches", "inliers", r6("inlier_ratio").alias("inlier_ratio"), F.round("median_reprojection_px", 3).alias("median_px"), F.round("p95_reprojection_px", 3).alias("p95_px"))
+
+
 # geometry, with the registrations' own homographies and quadrilaterals
 
 QUAD = "len(homography_full) = 3 AND len(target_quad_full) = 4"
@@ -352,9 +378,12 @@ def first_of_text(spark, d):
     return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("SELECT DISTINCT folio FROM documents WHERE folio IS NOT NULL EXCEPT SELECT folio FROM folio_inventory")
+@query(f"SELECT DISTINCT {folio_form_sql('folio')} AS folio FROM folio_inventory WHERE {folio_form_sql('folio')} IS NOT NULL EXCEPT SELECT {folio_form_sql('folio')} FROM registrations WHERE accepted")
 def except_members(spark, d):
-    return relational_except(table(spark, d, "documents").where("folio IS NOT NULL").select("folio"), table(spark, d, "folio_inventory").select("folio"))
+    """The folios of the inventory of which no registration was accepted."""
+    form = folio_form(F.col("folio")).alias("folio")
+    listed = table(spark, d, "folio_inventory").select(form).where("folio IS NOT NULL")
+    return relational_except(listed, table(spark, d, "registrations").where("accepted").select(form).where("folio IS NOT NULL"))
 
 
 def relational_except(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -367,9 +396,15 @@ def semi_filter(spark, d):
     return table(spark, d, "orders").join(kept, "o_custkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+TRIED = f"tr AS (SELECT DISTINCT {folio_form_sql('folio')} AS folio, candidate_index AS index FROM registrations WHERE candidate_index IS NOT NULL)"
+
+
+@query(f"WITH {TOKENS}, {KEYS}, {TRIED}, nr AS (SELECT folio, index FROM (SELECT folio, unnest([n - 1, n, n + 1]) AS m FROM ky) JOIN to_ ON token IN (m || 'r', m || 'v')) SELECT DISTINCT folio, index FROM nr ANTI JOIN tr USING (folio, index)")
 def anti_fallback(spark, d):
-    return readers.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """The near candidates of a second wave that the first hasn't tried."""
+    wanted = registration.candidates(table(spark, d, "folio_inventory").select("folio"), _canvases(spark, d), broad=True)
+    tried = table(spark, d, "registrations").select(folio_form(F.col("folio")).alias("folio"), F.col("candidate_index").alias("index")).where("folio IS NOT NULL AND index IS NOT NULL")
+    return readers.missing(wanted, tried, ["folio", "index"])
 
 
 @query("SELECT c_custkey AS k, 'first' AS wave FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'second' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, NULL FROM supplier")
@@ -428,13 +463,21 @@ def bh_fdr(spark, d):
     return stats.benjamini_hochberg(tests, "p").select("user_id", r6("p").alias("p"), F.col("rank").cast(BIG).alias("rank"), "significant")
 
 
-DRAW = "('0x' || substr(sha256('408:' || draw || ':' || event_id), 1, 8))::BIGINT"
+DRAW = position_sql("draw", "g", "s")
 
 
-@query(f"WITH b AS (SELECT event_type AS g, user_id % 50 AS s, event_id AS k, value > 10 AS side, event_id % 3 = 0 AS flag, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS place FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL), x AS (SELECT g, s, draw, side, row_number() OVER (PARTITION BY g, s, draw ORDER BY {DRAW.replace('event_id', 'k')}, k) AS place FROM b, generate_series(1, 50) q(draw)), n AS (SELECT b.g, draw, abs(avg(b.flag::INT) FILTER (x.side) - avg(b.flag::INT) FILTER (NOT x.side)) AS gap FROM b JOIN x ON b.g = x.g AND b.s = x.s AND b.place = x.place GROUP BY ALL), o AS (SELECT g, count(*) AS n, abs(avg(flag::INT) FILTER (side) - avg(flag::INT) FILTER (NOT side)) AS observed FROM b GROUP BY g) SELECT n.g AS event_type, any_value(o.n) AS n, round(any_value(observed), 6) AS observed, round((1 + count(*) FILTER (gap >= observed - 1e-12)) / (1 + count(*)), 6) AS p FROM n JOIN o USING (g) GROUP BY n.g")
+@query(f"""WITH b AS (SELECT event_type AS g, user_id % 50 AS s, value > 10 AS side, event_id % 3 = 0 AS flag FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+ c AS (SELECT g, s, count(*) AS n, count(*) FILTER (side) AS k, count(*) FILTER (flag) AS f, count(*) FILTER (side AND flag) AS x FROM b GROUP BY g, s),
+ h AS (SELECT g, s, t, lgamma(f + 1) - lgamma(t + 1) - lgamma(f - t + 1) + lgamma(n - f + 1) - lgamma(k - t + 1) - lgamma(n - f - k + t + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS l FROM c, LATERAL (SELECT unnest(generate_series(greatest(0, f + k - n), least(f, k))) AS t) q),
+ d AS (SELECT g, s, t, sum(exp(l)) OVER (PARTITION BY g, s ORDER BY t ROWS UNBOUNDED PRECEDING) AS upto FROM h),
+ u AS (SELECT g, s, draw, {DRAW} / {float(SPAN)} AS u FROM c, generate_series(1, 200) q(draw)),
+ z AS (SELECT u.g, draw, u.s, min(t) AS t FROM u JOIN d ON u.g = d.g AND u.s = d.s AND upto > u GROUP BY ALL), w AS (SELECT g, draw, sum(t) AS x FROM z GROUP BY g, draw),
+ a AS (SELECT g, sum(n) AS n, sum(k) AS k, sum(f) AS f, sum(x) AS seen FROM c GROUP BY g),
+ r AS (SELECT a.g, n, abs(x / k - (f - x) / (n - k)) AS gap, abs(seen / k - (f - seen) / (n - k)) AS observed FROM w JOIN a ON w.g = a.g)
+ SELECT g AS event_type, any_value(n)::BIGINT AS n, round(any_value(observed), 6) AS observed, round((1 + count(*) FILTER (gap >= observed - 1e-12)) / (1 + count(*)), 6) AS p FROM r GROUP BY g""")
 def permutation_test(spark, d):
-    rows = table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("s"), (F.col("value") > 10).alias("side"), (F.col("event_id") % 3 == 0).alias("flag")).where("event_type IS NOT NULL")
-    return stats.permutation_test(rows, "event_type", "side", "flag", ["s"], "event_id", 50).select("event_type", "n", r6("observed").alias("observed"), r6("p").alias("p"))
+    rows = table(spark, d, "events").select("event_type", (F.col("user_id") % 50).alias("s"), (F.col("value") > 10).alias("side"), (F.col("event_id") % 3 == 0).alias("flag")).where("event_type IS NOT NULL")
+    return stats.permutation_test(rows, "event_type", "side", "flag", ["s"]).select("event_type", "n", r6("observed").alias("observed"), r6("p").alias("p"))
 
 
 # JSON, documents, sinks

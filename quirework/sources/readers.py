@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quirework.functions.text import derivative_url
+from quirework.plans.lineage import cut
 from quirework.plans.workers import shipped
 
 
@@ -86,10 +88,20 @@ def runtime_boxes(files: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return labels, boxes.select("folio", "source_index", F.get("b", F.lit(0)).cast("int").alias("word_index"), *(F.get("b", F.lit(i + 1)).alias(c) for i, c in enumerate("xywh")))
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, image) of the JPEG and PNG files in a folder, decoded in the JVM; the key is the file's name without ending. Undecodable files are left out."""
-    read = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return read.select(F.regexp_extract("image.origin", r"([^/]+)\.[^./]+$", 1).alias("key"), "image")
+def images(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """(key, image, error) of the JPEG and PNG files in a folder, decoded in the JVM; the key is the file's name without ending.
+
+    A file that can't be decoded has a null image and an error; where `strict`, it fails the query when it is read.
+    """
+    read = spark.read.format("image").option("dropInvalid", False).load(folder)
+    key = F.regexp_extract("image.origin", r"([^/]+)\.[^./]+$", 1)
+    told = F.concat(F.lit("image decode failure: "), "image.origin")
+    bad = F.coalesce(F.col("image.height") < 0, F.lit(True))
+    image = F.when(~bad, F.col("image"))
+    if strict:
+        kind = read.schema["image"].dataType.simpleString()
+        image = F.when(bad, F.raise_error(told).cast(kind)).otherwise(F.col("image"))
+    return read.select(key.alias("key"), image.alias("image"), F.when(bad, told).alias("error"))
 
 
 def missing(wanted: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,15 +109,15 @@ def missing(wanted: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.select(*keys).distinct().join(landed, keys, "left_anti")
 
 
-def fetch(url: str, opener: Callable[[str], bytes], attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> bytes:
-    """The content at url; failures are tried again after growing pauses, the last is raised."""
+def fetch(url: str, opener: Callable[[str], bytes], attempts: int = 5, pause: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> bytes:
+    """The content at url; failures are tried again after growing pauses with some chance in them, the last is raised."""
     for k in range(attempts):
         try:
             return opener(url)
         except Exception:
             if k == attempts - 1:
                 raise
-            pause(min(20.0, 1.5**k))
+            pause(min(20.0, 1.5**k + jitter()))
     raise ValueError("attempts must be at least 1")
 
 
@@ -114,6 +126,50 @@ def open_url(url: str) -> bytes:
         return answer.read()
 
 
+LANDED = "url string, content binary, error string"
+
+
+def fetched(addresses: DataFrame, attempts: int = 5, opener: Callable[[str], bytes] | None = None) -> DataFrame:
+    """addresses (url, ...) with content and error, fetched where the rows lie: null content and an error where all attempts failed."""
+    others = [c for c in addresses.columns if c not in ("content", "error")]
+    kinds = dict(addresses.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(url: str | None) -> tuple[bytes | None, str | None]:
+            try:
+                return (fetch(url, opener or open_url, attempts), None) if url else (None, "no address")
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+
+        for batch in batches:
+            got = [one(u) for u in batch["url"]]
+            yield batch.assign(content=[c for c, _ in got], error=[e for _, e in got])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", content binary, error string"
+    return shipped(addresses).select(*others).mapInPandas(run, schema)
+
+
+def land(wanted: DataFrame, folder: str, key: str, attempts: int = 5, tasks: int = 8, strict: bool = True) -> DataFrame:
+    """The landed table in a folder (key, url, content), with what of wanted (key, url) it lacked fetched and added.
+
+    A key that has landed isn't fetched again, so a run can be repeated. Failures land nothing; where `strict` they raise
+    when all others have landed.
+    """
+    spark = wanted.sparkSession
+    kind = dict(wanted.dtypes)[key]
+    schema = f"`{key}` {kind}, url string, content binary"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    landed = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    asked = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("url").alias("url"))
+    got = cut(fetched(missing(asked, landed.select(key), [key]).join(asked, key).repartition(tasks), attempts))
+    got.where("error IS NULL").select(key, "url", "content").write.mode("append").parquet(folder)
+    failed = got.where("error IS NOT NULL").select(key, "error").limit(5).collect()
+    if failed and strict:
+        raise RuntimeError("not landed: " + "; ".join(f"{r[0]}: {r[1]}" for r in failed))
+    return spark.read.schema(schema).parquet(folder)
+
+
 class FetchSource(DataSource):
     """spark.read.format("fetch").option("urls", <JSON list>): (url, content, error), a task for each address."""
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.text import json_safe
+from quirework.functions.text import json_safe_as
 
 
 def event_lines(events: DataFrame, name: str, at: str) -> DataFrame:
@@ -29,11 +29,20 @@ def base64_chunks(rows: DataFrame, key: str, data: str, size: int = 70_000) -> D
 
 
 def json_documents(rows: DataFrame, key: str) -> DataFrame:
-    """(key, document): each row as JSON, numbers that aren't finite as null."""
-    safe = [json_safe(F.col(c)).alias(c) if kind in ("double", "float") else F.transform(c, json_safe).alias(c) if kind in ("array<double>", "array<float>") else F.col(c) for c, kind in rows.dtypes]
+    """(key, document): each row as JSON, numbers that aren't finite as null, however deep they lie."""
+    safe = [json_safe_as(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields]
     return rows.select(F.col(key), F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def deflated_parts(rows: DataFrame, key: str, name: str, each: int = 10_000) -> DataFrame:
+    """(name, no, data): the rows' JSON documents, by key, as deflated JSON lists of about `each` rows: a large table has many."""
+    documents = json_documents(rows.withColumn("__key", F.col(key)), "__key")
+    groups = max(1, -(-documents.count() // each))
+    parts = documents.groupBy(F.pmod(F.xxhash64("__key"), F.lit(groups)).alias("no")).agg(F.array_sort(F.collect_list(F.struct("__key", "document"))).alias("d"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("d", lambda d: d["document"]), ","), F.lit("]"))
+    return parts.select(F.lit(name).alias("name"), "no", deflated(whole).alias("data"))
+
+
 def deflated(text: Column) -> Column:
     """Text as zlib bytes of the highest level."""
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quirework.functions import geometry as G
 from quirework.functions import text as T
@@ -44,7 +45,7 @@ def test_derivative_url(spark):
 
 
 def test_json_safe(spark):
-    row = spark.createDataFrame([(float("nan"), [float("inf"), 1.0])], "a double, b array<double>").select(T.json_safe(F.col("a")).alias("a"), T.json_safe_list(F.col("b")).alias("b")).first()
+    row = spark.createDataFrame([(float("nan"), [float("inf"), 1.0])], "a double, b array<double>").select(T.json_safe(F.col("a")).alias("a"), T.json_safe_as(F.col("b"), ArrayType(DoubleType())).alias("b")).first()
     assert (row["a"], row["b"]) == (None, [None, 1.0])
 
 

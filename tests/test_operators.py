@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.config import BASE_LIMITS, CURRENT_LIMITS, leaf_pairs
-from quirework.operators import audit, graph, imaging, knn, layout, proposals, registration, relational, sampling, stats
+from quirework.operators import audit, graph, homography, imaging, knn, layout, proposals, registration, relational, sampling, stats
 from quirework.plans.prefix import running_sum
 
 BOXES = "folio string, source_index int, x double, y double, w double, h double"
@@ -18,9 +18,29 @@ def test_infer_lines_and_places(spark):
     assert layout.infer_lines(spark.createDataFrame([], BOXES)).collect() == []
 
 
+def folded(boxes):
+    rows = np.array(boxes, float).reshape(-1, 5)
+    index, line = layout.fold_lines(rows[:, 0].astype(int), rows[:, 1], rows[:, 2], rows[:, 4])
+    return sorted(zip(index.tolist(), line.tolist()))
+
+
 def test_lines_follow_medians_not_gaps():
-    boxes = [(i, 0.0, c - 5.0, 5.0, 10.0) for i, c in enumerate((0, 8, 16))]
-    assert sorted(layout.fold_lines(boxes)) == [(0, 0), (1, 0), (2, 1)]
+    assert folded([(i, 0.0, c - 5.0, 5.0, 10.0) for i, c in enumerate((0, 8, 16))]) == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_lines_equal_a_search_of_all_lines():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        boxes = [(i, float(rng.integers(0, 50)), float(rng.integers(0, 90)), 5.0, float(rng.integers(4, 30))) for i in range(rng.integers(1, 40))]
+        limit, lines = max(8.0, 0.65 * float(np.median([b[4] for b in boxes]))), []
+        for i, x, y, w, h in sorted(boxes, key=lambda b: (b[2] + b[4] / 2, b[1], b[0])):
+            gaps = [abs(y + h / 2 - np.median([c for _, c in line])) for line in lines]
+            if not gaps or min(gaps) > limit:
+                lines.append([])
+                gaps.append(-1.0)
+            lines[int(np.argmin(gaps))].append((i, y + h / 2))
+        lines.sort(key=lambda line: np.median([c for _, c in line]))
+        assert folded(boxes) == sorted((i, n) for n, line in enumerate(lines) for i, _ in line)
 
 
 def test_neighbours_are_survivors(spark):
@@ -119,10 +139,97 @@ def test_retrieval_keeps_the_ranks_of_own_group(spark):
 
 def test_permutation_p(spark):
     rows = spark.createDataFrame([("w", f"f{i % 2}", i < 20, i < 20, i) for i in range(40)], "g string, s string, side boolean, flag boolean, k int")
-    row = stats.permutation_test(rows, "g", "side", "flag", ["s"], "k", 200).first()
+    row = stats.permutation_test(rows, "g", "side", "flag", ["s"]).first()
     assert (row["n"], row["observed"], row["p"]) == (40, 1.0, pytest.approx(1 / 201))
 
 
+def test_permutation_draws_follow_shuffles(spark):
+    rng = np.random.default_rng(5)
+    side, flag, stratum = rng.random(120) < 0.4, rng.random(120) < 0.3, rng.integers(0, 3, 120)
+    rows = spark.createDataFrame([("w", f"f{s}" if s else None, bool(a), bool(b)) for s, a, b in zip(stratum, side, flag)], "g string, s string, side boolean, flag boolean")
+    row = stats.permutation_test(rows, "g", "side", "flag", ["s"], 2000).first()
+    seen, null = abs(flag[side].mean() - flag[~side].mean()), []
+    for _ in range(4000):
+        mixed = side.copy()
+        for s in range(3):
+            mixed[stratum == s] = rng.permutation(mixed[stratum == s])
+        null.append(abs(flag[mixed].mean() - flag[~mixed].mean()))
+    assert row["observed"] == pytest.approx(seen) and row["p"] == pytest.approx(np.mean(np.array(null) >= seen - 1e-12), abs=0.05)
+    assert stats.permutation_test(rows.repartition(7), "g", "side", "flag", ["s"], 2000).first()["p"] == row["p"]
+    assert stats.permutation_test(rows.where("side"), "g", "side", "flag", ["s"]).first()["observed"] is None
+    assert stats.permutation_test(rows.limit(0), "g", "side", "flag", ["s"]).collect() == []
+
+
+def test_gates_refuse_nan(spark):
+    nan = float("nan")
+    kind = "plausible_intersection boolean, inliers int, inlier_ratio double, median_reprojection_px double, intersection_ratio double, target_area_ratio double, homography_derivative array<array<double>>"
+    unit = [[1.0, 0.0], [0.0, 1.0]]
+    rows = spark.createDataFrame([(True, 60, 0.6, 1.0, 0.9, 0.5, unit), (True, 60, nan, 1.0, nan, 0.5, unit), (True, 60, 0.6, nan, 0.9, nan, unit), (True, None, 0.6, 1.0, 0.9, 0.5, [[nan]])], kind)
+    got = rows.select(registration.accepted().alias("a"), registration.plausible().alias("p")).collect()
+    assert [r["a"] for r in got] == [True, False, False, False] and [r["p"] for r in got] == [True, False, False, False]
+
+
+def test_two_sides_and_folds(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=(30, 4)) + 3, rng.normal(size=(20, 4)) - 3]
+    rows = spark.createDataFrame([("w", i, v.tolist()) for i, v in enumerate(x)] + [("one", 99, [1.0] * 4), ("w", 100, None)], "l string, k int, v array<double>")
+    got = {r["k"]: r["side"] for r in audit.two_sides(rows, "l", "k", "v").where("l = 'w'").collect()}
+    assert len({got[i] for i in range(30)}) == len({got[i] for i in range(30, 50)}) == 1 and got[0] != got[40]
+    folds = audit.balanced_folds([(str(i), n) for i, n in enumerate((9, 1, 1, 4, 5, 3, 1))], 3)
+    sums = [sum(n for g, n in ((str(i), n) for i, n in enumerate((9, 1, 1, 4, 5, 3, 1))) if (g, f) in folds) for f in range(3)]
+    assert sorted(sums) == [7, 8, 9] and len(audit.balanced_folds([("a", 1)], 5)) == 1
+
+
+def test_holdout_of_few_has_the_same_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "f1r", 0)], "id int, v array<double>, folio string, pair int")
+    got = audit.holdout_test(rows, "id", "v", "folio", F.col("pair"))
+    assert got.first()["status"] == "insufficient" and "fraction" in got.columns
+
+
+def test_index_beyond_a_size(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(40, 8)), 10, 0) + rng.normal(size=(400, 8)) * 0.2
+    rows = spark.createDataFrame([(i, v.tolist(), f"f{i % 7}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, folio string")
+    exact = {(r["i"], r["j"]) for r in knn.nearest_rows(rows, k=5).collect()}
+    found = {(r["i"], r["j"]) for r in knn.nearest_rows(rows, k=5, exact_upto=100).collect()}
+    assert len(exact) == 2000 and len(exact & found) >= 0.9 * len(exact)
+    labels, _, _ = audit.discovered(rows, "vec_id", "embedding", 5, 0.5, 0.5, (2, 50), "folio", 150)
+    assert 0 < labels.count() <= 150
+    assert knn.nearest_rows(rows.limit(0)).collect() == []
+
+
+def test_reprojection(spark):
+    unit = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = spark.createDataFrame([("a", 1.0, 1.0, 4.0, 5.0, True, unit), ("a", 2.0, 2.0, 2.0, 3.0, True, unit), ("a", 0.0, 0.0, 90.0, 0.0, False, unit)], "folio string, x1 double, y1 double, x2 double, y2 double, inlier boolean, homography_derivative array<array<double>>")
+    row = registration.reprojection(rows, ["folio"]).first()
+    assert (row["matches"], row["inliers"], row["median_reprojection_px"]) == (3, 2, 3.0) and row["p95_reprojection_px"] == pytest.approx(4.8)
+
+
+def test_from_descriptors_to_a_registration(spark):
+    rng = np.random.default_rng(6)
+    h = np.array([[1.5, 0.1, 20.0], [-0.05, 1.4, 10.0], [1e-5, 2e-5, 1.0]])
+    p = rng.uniform(0, 300, size=(150, 2))
+    moved = np.c_[p, np.ones(150)] @ h.T
+    q = moved[:, :2] / moved[:, 2:]
+    vec = rng.normal(size=(150, 16))
+    kind = "x double, y double, vec array<double>"
+    sources = spark.createDataFrame([("f1r", *map(float, a), v.tolist()) for a, v in zip(p, vec)] + [("f2r", 1.0, 1.0, [1.0] * 16)], "folio string, " + kind)
+    wrong = rng.uniform(0, 400, size=(50, 2))
+    at = np.r_[wrong, q[50:]]  # the first fifty are found in the wrong place
+    targets = spark.createDataFrame([(3, *map(float, b), (v + 0.001).tolist()) for b, v in zip(at, vec)] + [(4, 0.0, 0.0, None)], "index int, " + kind)
+    pairs = spark.createDataFrame([("f1r", 3), ("f1r", 3), ("f2r", 3), ("f1r", 4), (None, 3)], "folio string, index int")
+    matches = homography.descriptor_matches(pairs, sources, targets, 0.9)
+    found = homography.homographies(matches, pairs.where("folio IS NOT NULL"))
+    folios = spark.createDataFrame([("f1r", 300, 300), ("f2r", 300, 300)], "folio string, source_width int, source_height int")
+    canvases = spark.createDataFrame([(i, "1r", "c", "b", 1200, 1200, 600, 600) for i in (3, 4)], "index int, label string, canvas_id string, body_id string, width int, height int, target_width int, target_height int")
+    got = {(r["folio"], r["candidate_index"]): r for r in homography.registrations(found, folios, canvases).collect()}
+    good = got["f1r", 3]
+    assert good["accepted"] and good["matches"] == 150 and 100 <= good["inliers"] <= 103 and good["median_reprojection_px"] < 1e-6
+    assert np.allclose(good["homography_derivative"], h, atol=1e-4) and np.allclose(good["homography_full"][0], 2 * h[0], atol=1e-3) and 0.9 < good["intersection_ratio"] <= 1
+    assert got["f1r", 4]["error"] and got["f2r", 3]["error"] and not got["f2r", 3]["accepted"] and len(got) == 3
+    assert homography.robust(p[:3], q[:3]) is None and homography.robust(np.zeros((9, 2)), np.zeros((9, 2))) is None
+
+
 def test_agreement_and_maxsim(spark):
     a = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "i long, j long")
     b = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "i long, j long")

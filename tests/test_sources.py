@@ -42,7 +42,7 @@ def test_fetch_tries_again():
             raise OSError("no")
         return b"x"
 
-    assert readers.fetch("u", opener, 5, pauses.append) == b"x" and pauses == [1.0, 1.5]
+    assert readers.fetch("u", opener, 5, pauses.append, lambda: 0.0) == b"x" and pauses == [1.0, 1.5]
     with pytest.raises(OSError):
         readers.fetch("u", lambda u: (_ for _ in ()).throw(OSError()), 2, pauses.append)
 
@@ -55,6 +55,20 @@ def test_fetch_source(spark, tmp_path):
     assert bytes(got[urls[0]][0]) == b"hello" and got[urls[1]][1]
 
 
+def test_landing_fetches_what_is_missing(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name * 3)
+    wanted = spark.createDataFrame([(x, f"file://{tmp_path}/{x}") for x in "aab"] + [(None, "file:///x")], "folio string, url string")
+    folder = str(tmp_path / "landed")
+    first = readers.land(wanted, folder, "folio")
+    assert {r["folio"]: bytes(r["content"]) for r in first.collect()} == {"a": b"aaa", "b": b"bbb"}
+    (tmp_path / "a").unlink()  # what has landed isn't asked for again
+    more = wanted.unionByName(spark.createDataFrame([("c", f"file://{tmp_path}/c"), ("none", f"file://{tmp_path}/none")], wanted.schema))
+    with pytest.raises(RuntimeError, match="none"):
+        readers.land(more, folder, "folio", attempts=1)
+    assert {r["folio"] for r in readers.land(more, folder, "folio", attempts=1, strict=False).collect()} == {"a", "b", "c"}
+
+
 def test_images_to_vectors(spark, tmp_path):
     jvm = spark.sparkContext._jvm
     image = jvm.java.awt.image.BufferedImage(60, 30, jvm.java.awt.image.BufferedImage.TYPE_3BYTE_BGR)
@@ -67,7 +81,9 @@ def test_images_to_vectors(spark, tmp_path):
     jvm.javax.imageio.ImageIO.write(image, "png", jvm.java.io.File(f"{tmp_path}/f1r.png"))
     (tmp_path / "broken.png").write_bytes(b"no image")
     pages = readers.images(spark, str(tmp_path)).withColumnRenamed("key", "folio")
-    assert [r["folio"] for r in pages.select("folio").collect()] == ["f1r"]
+    assert {r["folio"]: (r["image"] is None, r["error"] is None) for r in pages.collect()} == {"f1r": (False, True), "broken": (True, False)}
+    with pytest.raises(Exception, match="image decode failure"):
+        readers.images(spark, str(tmp_path), strict=True).collect()
     boxes = spark.createDataFrame([("f1r", 0, (0, 0, 30, 30)), ("f1r", 1, (50, 0, 50, 50)), ("f1r", 2, (99, 99, 5, 5))], "folio string, item int, box struct<x:int,y:int,w:int,h:int>")
     crops = imaging.crops(pages, boxes, "folio")
     got = {r["item"]: r for r in crops.collect()}
@@ -82,6 +98,8 @@ def test_sinks(spark):
     assert [len(r["part"]) for r in parts] == [50, 50, 36] and parts[0]["chunks"] == 3
     doc = sinks.json_documents(spark.createDataFrame([(1, float("nan"), [float("inf"), 1.0])], "k int, a double, b array<double>"), "k").first()["document"]
     assert json.loads(doc) == {"k": 1, "a": None, "b": [None, 1.0]}
+    deep = spark.sql("SELECT 1 AS k, array(array(double('NaN'), 1.0D)) AS m, map('a', double('inf')) AS p, named_struct('z', double('NaN'), 'l', array(named_struct('y', float('inf')))) AS q, CAST(NULL AS STRUCT<z: DOUBLE>) AS n, 'NaN' AS s")
+    assert json.loads(sinks.json_documents(deep, "k").first()["document"]) == {"k": 1, "m": [[None, 1.0]], "p": {"a": None}, "q": {"z": None, "l": [{"y": None}]}, "n": None, "s": "NaN"}
     assert zlib.decompress(bytes(spark.range(1).select(sinks.deflated(F.lit("abc")).alias("z")).first()["z"])) == b"abc"
     line = sinks.event_lines(spark.createDataFrame([("go", 5)], "name string, n int").withColumn("at", F.lit("2025-01-01 00:00:00.5").cast("timestamp")), "name", "at").first()["value"]
     assert json.loads(line) == {"event": "go", "n": 5, "t": 1735689600.5} and line.startswith('{"event"')
