@@ -1,12 +1,17 @@
 """A run from page images to the verdict, on a page drawn here."""
 
+import base64
 import json
+import zlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quirework.operators import stats
+from quirework import __main__ as main
+from quirework.config import leaf_pairs
+from quirework.operators import audit, imaging, stats
 from quirework.plans import pipeline
 from quirework.sources import readers, sinks
 
@@ -77,6 +82,47 @@ def test_stability_is_of_altered_pictures(given, spark):
     assert pipeline.augmented_stability(given, few.limit(9), found).first()["own_rate"] is None
 
 
+def test_the_rest_of_the_summary(given):
+    run = pipeline.Run(given)
+    end = json.loads(pipeline.verdict(run).first()["value"].removeprefix("FINAL_SUMMARY_JSON="))
+    assert end["held_out"]["status"] == "insufficient" and end["second_model"]["status"] == "not_run" and end["registration"]["accepted"] == 1
+    assert end["mode"] == "full" and end["pages"] == 2 and isinstance(end["cluster_summaries"], list) and end["dense"]["n_images"] < 20
+    parts = {(r["name"].rsplit("_B64", 1)[0], r["chunk"]): r["part"] for r in run.artefacts().collect()}
+    told = json.loads(zlib.decompress(base64.b64decode(parts["REGISTRATIONS_ZLIB", 0])))
+    assert [r["folio"] for r in told] == ["f1r"] and told[0]["homography_full"][0][0] == 2.0 and ("CONTACT_SHEET_PNG", 0) in parts
+
+
+def test_smoke_mode_takes_the_named_pages(given):
+    assert {r["folio"] for r in replace(given, mode="smoke").folios().collect()} == {"f1r"}
+    assert {r["folio"] for r in given.folios().collect()} == {"f1r", "f9v"}
+    assert main.parameters(["x", "--mode", "smoke"]).mode == "smoke" and main.parameters(["x"]).batch_size == 64
+
+
+def test_dense_audit_and_two_models(given, spark):
+    words = pipeline.words(given, pipeline.registered(given))
+    many = words.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("source_index", F.col("source_index") + 100 * F.col("n")).withColumn("folio", F.concat(F.lit("f"), F.col("n"), F.lit("r")))
+    row = pipeline.dense_audit(given, many, below=256).first()
+    assert row["n_images"] == 48 and row["same_n"] > 50 and row["different_n"] > 50 and -1 <= row["different_mean"] <= row["same_mean"] + 0.2 and 0 <= row["auc"] <= 1
+    rows = pipeline.proposal_crops(given, words)
+    two = replace(given, large=imaging.small_pictures(256))
+    found = pipeline.model_agreement(two, rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("source_index", F.col("source_index") + 50 * F.col("k")), words).first()
+    assert found["status"] == "ok" and found["n"] >= 0 and (found["n"] < 2 or 0 <= found["mean_knn10_jaccard"] <= 1)
+
+    def broken():
+        raise OSError("no weights")
+
+    assert pipeline.model_agreement(replace(given, large=imaging.Embedder(broken)), rows.withColumn("proposal_index", F.explode(F.sequence(F.lit(0), F.lit(300)))), words).first()["status"].startswith("failed")
+
+
+def test_leaves_of_a_pair_share_a_side(spark):
+    rows = spark.createDataFrame([(f"f{n}{s}",) for n in range(1, 110) for s in "rv"] + [("fRos",), (None,)], "folio string")
+    placed = pipeline.with_pair(rows).withColumn("held", audit.held_out(F.col("pair"))).collect()
+    by = {r["folio"]: (r["pair"], r["held"]) for r in placed}
+    assert len(placed) == 220 and by["f12r"] == by["f60r"] == by["fRos"] == (None, None)
+    for pair, a, b in leaf_pairs():
+        assert by[f"f{a}r"] == by[f"f{b}v"] == (pair, pair in (8, 10, 14, 16, 20, 22, 23, 27, 29, 30, 31))
+
+
 def test_contact_sheet(spark):
     picks = spark.createDataFrame([(0, 0, 4, 2, b"\0" * 8), (1, 0, 0, 0, b"")], "cluster int, pick int, width int, height int, data binary")
     assert sinks.contact_sheet(picks).startswith(b"\x89PNG") and sinks.contact_sheet(picks.limit(0)).startswith(b"\x89PNG")
