@@ -1,7 +1,8 @@
 """Deeply nested manifests as flat tables that keep the place of their parents.
 
 All JSON is read as VARIANT and walked by nested transform calls, which attach the keys and places of the ancestors;
-flatten joins the arrays and one inline for each table emits the rows. No row is exploded on the way and nothing shuffles.
+flatten joins the arrays and one inline for each table emits the rows. No row is exploded on the way; the rows that come out
+are shuffled once, to drop what repeated records give again.
 """
 
 from __future__ import annotations
@@ -61,11 +62,25 @@ def _items(json: str) -> str:
 def manifest_objects(records: DataFrame, json: str = "manifest") -> DataFrame:
     """Adds the variant `items` of each record that is one whole manifest object with a list of items.
 
-    The object may stand alone in a list, be written as a JSON string, or both. Null, blank, broken and truncated JSON,
-    text after the object, repeated keys in an object, other values and objects over the size of a variant (16 MB) give
-    no row; their number is in the difference of the counts. Other columns stay as they are.
+    The object may stand alone in a list, be written as a JSON string, or both. Where an object names a key twice the last
+    value counts. Null, blank, broken and truncated JSON, text after the object, other values and objects over the size
+    of a variant (128 MB) give no row; refused() lists them. Other columns stay as they are.
     """
-    return records.withColumn("items", F.expr(_items(f"`{json}`"))).where("items IS NOT NULL")
+    return _lenient(records).withColumn("items", F.expr(_items(f"`{json}`"))).where("items IS NOT NULL")
+
+
+def _lenient(records: DataFrame) -> DataFrame:
+    """records, in a session that reads objects with repeated keys: the setting holds for all JSON of the session from here on."""
+    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return records
+
+
+def refused(records: DataFrame, key: str = "raw_id", json: str = "manifest") -> DataFrame:
+    """(key, reason, records): the records that hold no manifest, counted by key: "empty", "unreadable" (not one whole JSON value) or "no manifest"."""
+    text = f"`{json}`"
+    whole = _let("v", _list(_parsed(text)), f"size(v) = 2 AND try_variant_get(v[1], '$', 'string') = '{WHOLE}'")
+    reason = f"CASE WHEN {text} IS NULL OR {text} RLIKE r'^{BLANK}\z' THEN 'empty' WHEN NOT coalesce({whole}, false) THEN 'unreadable' WHEN {_items(text)} IS NULL THEN 'no manifest' END"
+    return _lenient(records).select(key, F.expr(reason).alias("reason")).where("reason IS NOT NULL").groupBy(key, "reason").agg(F.count("*").alias("records"))
 
 
 CANVAS = "struct(i AS canvas_index, 'canvas' AS kind, -1 AS page_index, -1 AS item_index, -1 AS alt_index, '' AS lang, {} AS val)"
@@ -98,7 +113,7 @@ def _bodies() -> str:
 def _rows(records: DataFrame, key: str, json: str, arrays: list[str]) -> DataFrame:
     flat = "concat(" + ", ".join(f"flatten({a})" for a in arrays) + ")"
     rows = _let("items", _items(f"`{json}`"), f"filter({flat}, r -> r.val IS NOT NULL)")
-    return records.select(key, F.inline(F.expr(rows))).distinct()
+    return _lenient(records).select(key, F.inline(F.expr(rows))).distinct()
 
 
 def canvases(records: DataFrame, key: str = "raw_id", json: str = "manifest") -> DataFrame:

@@ -10,6 +10,7 @@ QUERIES = {
     "p6_canvases": lambda spark, d: nested.canvases(table(spark, d, "manifests")),
     "p6_labels": lambda spark, d: nested.labels(table(spark, d, "manifests")),
     "p6_bodies": lambda spark, d: nested.bodies(table(spark, d, "manifests")),
+    "p6_refused": lambda spark, d: nested.refused(table(spark, d, "manifests")),
 }
 
 
@@ -41,6 +42,11 @@ _CANVAS = f"""WITH m0 AS (SELECT DISTINCT raw_id, manifest FROM manifests WHERE
  body AS (SELECT raw_id, canvas_index, page_index, item_index, alt_index, coalesce({_string('x')}, CASE WHEN json_type(x) = 'OBJECT' AND {_KIND.format('x')} = 'Image' THEN {_id('x')} END) AS val FROM w, {_elements('bs', 'x', 'alt_index')})"""
 
 ORACLE = {
+    "p6_refused": """WITH g0 AS (SELECT DISTINCT manifest FROM manifests WHERE json_valid(manifest)), g1 AS (SELECT manifest, CASE WHEN json_type(manifest) = 'VARCHAR' THEN manifest::JSON ->> '$' ELSE manifest END AS j FROM g0),
+ g2 AS (SELECT manifest, CASE WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN json_extract(j, '$[0]') ELSE j::JSON END AS o FROM g1 WHERE json_valid(j)),
+ g AS (SELECT manifest FROM g2 WHERE json_type(o) = 'OBJECT' AND json_type(o -> '$.items') = 'ARRAY')
+ SELECT raw_id, CASE WHEN manifest IS NULL OR regexp_full_match(manifest, '[ \\t\\r\\n]*') THEN 'empty' WHEN NOT json_valid(manifest) THEN 'unreadable' ELSE 'no manifest' END AS reason, count(*) AS records
+ FROM manifests ANTI JOIN g USING (manifest) GROUP BY ALL""",
     "p6_canvases": f"{_CANVAS} SELECT DISTINCT raw_id, canvas_index, val AS canvas_id FROM canvas WHERE val IS NOT NULL",
     "p6_labels": f"{_CANVAS} SELECT DISTINCT raw_id, canvas_index, lang, item_index, val AS label FROM label WHERE val IS NOT NULL",
     "p6_bodies": f"{_CANVAS} SELECT DISTINCT raw_id, canvas_index, page_index, item_index, alt_index, val AS body_id FROM body WHERE val IS NOT NULL",

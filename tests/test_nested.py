@@ -33,6 +33,14 @@ def test_tables_repeats_and_clashing_columns(spark):
     assert nested.manifest_rows(rows.limit(0)).collect() == []
 
 
+def test_repeated_keys_and_refused_records(spark):
+    twice = '{"items": [], "items": [{"id": "c1", "id": "c2", "label": {"en": "a", "en": ["b"]}}]}'
+    rows = spark.createDataFrame([(1, twice), (2, None), (2, " \n"), (2, ""), (3, "{"), (3, TEXT + " x"), (4, "5"), (4, json.dumps("{")), (5, TEXT), (None, "[1]")], "raw_id long, manifest string")
+    assert {tuple(r)[1:] for r in nested.manifest_rows(rows.where("raw_id = 1")).collect()} == {(0, "canvas", -1, -1, -1, "", "c2"), (0, "label", -1, 0, -1, "en", "b")}
+    assert {tuple(r) for r in nested.refused(rows).collect()} == {(2, "empty", 3), (3, "unreadable", 2), (4, "no manifest", 2), (None, "no manifest", 1)}
+    assert nested.refused(rows.limit(0)).collect() == []
+
+
 def test_long_manifest(spark):
     many = json.dumps({"items": [{"id": f"c{i}", "label": "x" * 1000} for i in range(2000)]})
     assert nested.manifest_rows(spark.createDataFrame([(1, many)], "raw_id long, manifest string")).count() == 4000
