@@ -13,7 +13,7 @@ from quirework.plans.lineage import cut
 from quirework.plans.prefix import running_sum
 
 SEED_RATES = (1 / 8, 1 / 2, 1.0)
-BUCKETS = 1024
+BUCKETS, TABLES = 1024, 8
 
 
 def frontier_components(edges: DataFrame, left: str, right: str, rates: tuple[float, ...] = SEED_RATES) -> DataFrame:
@@ -27,20 +27,30 @@ def frontier_components(edges: DataFrame, left: str, right: str, rates: tuple[fl
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     near = cut(ends.union(ends.select("b", "a")).where("a <> b").distinct().repartition("a"))
     left_over = cut(ends.select("a").union(ends.select("b")).distinct())
-    seen = None
+    parts: list[DataFrame] = []  # what was reached, in written tables, put together when there are many
+
+    def seen() -> DataFrame:
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        if len(parts) > TABLES:
+            parts[:] = [cut(whole)]
+        return parts[0] if len(parts) == 1 else whole
+
     for wave, rate in enumerate(rates):
         spot = position("a", salt=f"seed{wave}")
         front = cut(left_over.where(spot < F.lit(int(rate * SPAN)) if rate < 1 else F.lit(True)).select("a", F.col("a").alias("seed")))
-        seen = front if seen is None else seen.unionByName(front)
+        parts.append(front)
         while rate < 1 and not front.isEmpty():
             reached = front.join(near.hint("merge"), "a").groupBy("b").agg(F.min("seed").alias("seed")).select(F.col("b").alias("a"), "seed")
-            front = cut(reached.join(seen, "a", "left_anti"))
-            seen = cut(seen.unionByName(front))
-        left_over = cut(left_over.join(seen, "a", "left_anti"))
-    seen = cut(seen)
-    met = near.join(seen, "a").join(seen.select(F.col("a").alias("b"), F.col("seed").alias("other")), "b").where("seed < other").select("seed", "other").distinct()
+            front = cut(reached.join(seen(), "a", "left_anti"))
+            parts.append(front)
+        if rate < 1:
+            left_over = cut(left_over.join(seen(), "a", "left_anti"))
+    reached_all = cut(seen())
+    met = near.join(reached_all, "a").join(reached_all.select(F.col("a").alias("b"), F.col("seed").alias("other")), "b").where("seed < other").select("seed", "other").distinct()
     merged = hook_components(met, "seed", "other").select(F.col("id").alias("seed"), F.col("group_id").alias("end"))
-    labels = seen.join(merged, "seed", "left").select("a", F.coalesce("end", "seed").alias("label"))
+    labels = reached_all.join(merged, "seed", "left").select("a", F.coalesce("end", "seed").alias("label"))
     least = labels.groupBy("label").agg(F.min("a").alias("group_id"))
     return labels.join(least, "label").select(F.col("a").alias("id"), "group_id")
 

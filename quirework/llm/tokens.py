@@ -83,7 +83,7 @@ def _starts(chunk: int, overlap: int) -> Callable[[Iterator[pd.DataFrame]], Iter
                 starts = [m.start() for m in pattern.finditer(text)]
                 heads.append([at + s for s in starts if s < overlap] if at else [0])
                 tails.append([] if last else [at + s for s in starts if chunk <= s < len(text) - UNSURE and not text[s - 1].isspace()])
-            yield batch.assign(head=heads, tail=tails)
+            yield batch.drop(columns="text").assign(head=heads, tail=tails)
 
     return run
 
@@ -95,18 +95,19 @@ def byte_pieces(texts: DataFrame, key: str, chunk: int = CHUNK, overlap: int = O
     two neighbours begin a pre-token they agree for good, as matches look only ahead; the first such place in the
     overlap is the cut; not one behind white space, which is split by what follows. Where there is none (a pre-token longer than the overlap) the two chunks stay one piece.
     """
-    schema = f"key {dict(texts.dtypes)[key]}, no int, at int, last boolean, text string, head array<int>, tail array<int>"
+    schema = f"key {dict(texts.dtypes)[key]}, no int, at int, last boolean, head array<int>, tail array<int>"
     count = F.greatest(F.ceil(F.length("text") / F.lit(chunk)).cast("int"), F.lit(1))
     numbered = shipped(texts).select(F.col(key).alias("key"), "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("no"), count.alias("n"))
     chunks = numbered.select("key", "no", (F.col("no") * chunk).alias("at"), (F.col("no") == F.col("n") - 1).alias("last"), F.substr("text", F.col("no") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-    read = chunks.repartition("key", "no").mapInPandas(_starts(chunk, overlap), schema)
+    read = chunks.repartition("key", "no").mapInPandas(_starts(chunk, overlap), schema)  # without the texts from here on
     order = Window.partitionBy("key").orderBy("no")
     both = F.array_intersect(F.lag("tail").over(order), F.col("head"))
     cut = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.array_min(both))
-    known = read.select("key", "no", "at", "text", "last", cut.alias("cut"))
-    known = known.withColumn("piece", F.count("cut").over(order))
+    known = read.select("key", "no", "at", "last", cut.alias("cut"))
+    known = known.withColumn("piece", F.count("cut").over(order)).withColumn("ends", F.lead("cut").over(order).isNotNull() | F.col("last"))
+    known = known.select("key", "no", "piece", "cut", "at", "ends").join(chunks.select("key", "no", "text"), ["key", "no"])
     # chunks of one piece side by side: their own characters, and of the last also the overlap
-    own = F.struct("no", F.when(F.lead("cut").over(order).isNotNull() | F.col("last"), F.col("text")).otherwise(F.substr("text", F.lit(1), F.lit(chunk))).alias("text"))
+    own = F.struct("no", F.when(F.col("ends"), F.col("text")).otherwise(F.substr("text", F.lit(1), F.lit(chunk))).alias("text"))
     known = known.select("key", "piece", "cut", "at", own.alias("own"))
     pieces = known.groupBy("key", "piece").agg(F.min("at").alias("at"), F.max("cut").alias("cut"), F.array_sort(F.collect_list("own")).alias("own"))
     upto = F.lead("cut").over(Window.partitionBy("key").orderBy("piece"))
@@ -119,8 +120,8 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id"
     """(key, ids): each text as the ids of a public tokenizer, without special tokens.
 
     Empty and null texts have the empty list. Byte-level tokenizers cut texts longer than a chunk into overlapping
-    chunks, which are spread over tasks (see byte_pieces); shorter texts, and all texts of the other tokenizers, which
-    look at whole texts, are encoded where they lie. Rows with a null key come out once each under a null key; keys are
+    chunks, which are spread over tasks (see byte_pieces); shorter texts, which are one chunk with nothing to stitch, and
+    all texts of the other tokenizers, which look at whole texts, are encoded where they lie. Rows with a null key come out once each under a null key; keys are
     taken to be unique. Extra columns don't matter.
     """
     rows = shipped(documents).select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))

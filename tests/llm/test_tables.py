@@ -33,6 +33,20 @@ def test_sample_is_stable_and_grows(spark):
     assert keys(sampling.hash_sample(spark.createDataFrame([(None, "s0")], KEYED), 1.0)) == set()
 
 
+def test_kept_rates_only_rise(spark, tmp_path):
+    folder, rows = str(tmp_path / "rates"), keyed(spark, 600)
+
+    def run(default, *rates):
+        given = spark.createDataFrame(list(rates), "stratum string, rate double") if rates else None
+        return keys(sampling.hash_sample(rows, default, sampling.kept_rates(spark, folder, default, given)))
+
+    first = run(0.2, ("s0", 0.5))
+    second = run(0.1)  # lower rates take nothing back
+    assert second == first
+    third = run(0.3, ("s1", 0.05), ("s2", float("nan")))
+    assert third > first and {k for k in third if k % 3 == 1} >= keys(sampling.hash_sample(rows.where("stratum = 's1'"), 0.2))
+
+
 def test_first_delivery_does_not_move(spark):
     rows = [(1, " F01R", 1), (1, "f2r", 2), (2, None, 1), (2, "f2r", 3), (None, "f1r", 1), (3, "f3v", None), (3, "f4v", 9)]
     df = spark.createDataFrame(rows, "k long, folio string, t long").withColumn("at", F.timestamp_seconds("t"))

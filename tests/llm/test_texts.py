@@ -31,6 +31,13 @@ def test_chunks_give_the_ids_of_the_whole(spark):
     assert all(got[i] == (whole([t])[0] if t else []) for i, t in enumerate(texts))
 
 
+def test_texts_about_a_chunk_long(spark):
+    texts = [t[:n] for n in (39, 40, 41, 55, 56, 57, 80, 81) for t in ("ab cd " * 30, "x" * 99, "é ' 12 " * 20, " " * 99)]
+    whole = tokens.encoder("byte_bpe_50k")
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, texts), chunk=40, overlap=16).collect()}
+    assert all(got[i] == whole([t])[0] for i, t in enumerate(texts))
+
+
 def test_decoding_is_exact(spark):
     texts = hard(40)
     back = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(docs(spark, texts))).collect()}

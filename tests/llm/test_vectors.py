@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quirework.llm import neighbours, spectral
+from quirework.operators import pivots
 
 KIND = "vec_id long, vec array<float>, id string, near int"
 
@@ -90,8 +91,8 @@ def test_footrule_cuts_only(spark):
     pairs = lambda d: {(i, j) for i, js in d.items() for j in js}
     assert 0 < len(pairs(near)) <= len(pairs(wide))
     same = np.array([[1, 2, 3, 4]])
-    assert neighbours.footrule_similarity(same, same)[0] == 10 and neighbours.footrule_similarity(same, same[:, ::-1])[0] == 1 + 2 + 2 + 1
-    assert neighbours.footrule_similarity(same, same + 9)[0] == 0
+    assert pivots.footrule_similarity(same, same)[0] == 10 and pivots.footrule_similarity(same, same[:, ::-1])[0] == 1 + 2 + 2 + 1
+    assert pivots.footrule_similarity(same, same + 9)[0] == 0
 
 
 def test_one_id_with_several_vectors_counts_once(spark):
@@ -103,8 +104,8 @@ def test_one_id_with_several_vectors_counts_once(spark):
 
 def test_few_usable_rows_have_pivots(spark):
     ids, x = vectors(1, 3, 20)
-    rows = neighbours.usable_vectors(table(spark, ids, x), "vec_id", "vec", 64)
-    assert len(neighbours.choose_pivots(rows, 100_000_000, neighbours.Index())[0]) > 0
+    rows = pivots.usable_vectors(table(spark, ids, x), "vec_id", "vec", 64)
+    assert len(pivots.choose_pivots(rows, 100_000_000, neighbours.Index())[0]) > 0
 
 
 def test_empty(spark):
