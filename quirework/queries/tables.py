@@ -263,20 +263,35 @@ def sliding_windows(spark, d):
     return found.select("p_partkey", F.when(F.col("b.w") == F.col("narrow"), 38).otherwise(62).alias("share"), F.col("b.x").cast(BIG).alias("x"))
 
 
-@query()
+PARTS = f"""p AS (SELECT DISTINCT {folio_form_sql('folio')} AS folio, source_index, word_relative_xywh AS b FROM proposals WHERE lower(proposal_type) = 'component' AND word_relative_xywh IS NOT NULL AND source_index IS NOT NULL),
+ o AS (SELECT folio, source_index, b.x, b.y, b.w, b.h, row_number() OVER w AS k, count(*) OVER (PARTITION BY folio, source_index) AS m, greatest(2, trunc(median(b.h) OVER (PARTITION BY folio, source_index) * 0.2)) AS gap FROM p WHERE folio IS NOT NULL WINDOW w AS (PARTITION BY folio, source_index ORDER BY b.x, b.y, b.w, b.h))"""
+
+
+@query(f"""WITH RECURSIVE {PARTS},
+ r AS (SELECT folio, source_index, k, m, x AS x0, y AS y0, x + w AS x1, y + h AS y1, NULL::INT[] AS closed FROM o WHERE k = 1
+  UNION ALL SELECT o.folio, o.source_index, o.k, o.m, CASE WHEN j THEN least(x0, s.x) ELSE s.x END, CASE WHEN j THEN least(y0, s.y) ELSE s.y END, CASE WHEN j THEN greatest(x1, s.x + s.w) ELSE s.x + s.w END, CASE WHEN j THEN greatest(y1, s.y + s.h) ELSE s.y + s.h END, CASE WHEN NOT j THEN [x0, y0, x1 - x0, y1 - y0] END
+  FROM (SELECT r.*, o.x, o.y, o.w, o.h, o.k AS k2, x - x1 <= gap AND greatest(0, least(y1, y + h) - greatest(y0, y)) / greatest(1, least(y1 - y0, h)) >= 0.2 AS j FROM r JOIN o ON o.folio = r.folio AND o.source_index = r.source_index AND o.k = r.k + 1) s JOIN o ON o.folio = s.folio AND o.source_index = s.source_index AND o.k = k2),
+ d AS (SELECT folio, source_index, k - 1 AS k, closed AS v FROM r WHERE closed IS NOT NULL UNION ALL SELECT folio, source_index, k, [x0, y0, x1 - x0, y1 - y0] FROM r WHERE k = m),
+ f AS (SELECT d.* FROM d ANTI JOIN (SELECT folio, source_index, [x, y, w, h] AS v FROM o) c ON d.folio = c.folio AND d.source_index = c.source_index AND d.v = c.v WHERE v[3] * v[4] >= 32)
+ SELECT folio, source_index, n, v[1] AS x, v[2] AS y, v[3] AS w, v[4] AS h FROM (SELECT *, row_number() OVER (PARTITION BY folio, source_index ORDER BY k) - 1 AS n FROM f) WHERE n < 6""")
 def box_merge(spark, d):
     """Merged neighbours among the components of each word."""
     rows = table(spark, d, "proposals").where("lower(proposal_type) = 'component' AND word_relative_xywh IS NOT NULL").select(folio_form(F.col("folio")).alias("folio"), "source_index", F.col("word_relative_xywh").alias("b")).where("folio IS NOT NULL AND source_index IS NOT NULL")
     words = rows.distinct().groupBy("folio", "source_index").agg(F.collect_list("b").alias("parts"))
-    return words.select("folio", "source_index", F.posexplode(proposals.merged_boxes(F.col("parts"))).alias("n", "box")).select("folio", "source_index", "n", "box.*")
+    return words.select("folio", "source_index", F.posexplode(proposals.merged_boxes(F.col("parts"))).alias("n", "box")).select("folio", "source_index", F.col("n").cast(BIG).alias("n"), "box.*")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT folio, source_index, min(v.x)::DOUBLE AS x, min(v.y)::DOUBLE AS y, max(v.h)::DOUBLE AS h FROM (SELECT {folio_form_sql('folio')} AS folio, source_index, derivative_xywh AS v FROM proposals) WHERE folio IS NOT NULL AND source_index IS NOT NULL AND v IS NOT NULL GROUP BY folio, source_index),
+ o AS (SELECT folio, source_index, x, y + h / 2 AS c, row_number() OVER (PARTITION BY folio ORDER BY y + h / 2, x, source_index) AS k, greatest(8, 0.65::DOUBLE * median(h) OVER (PARTITION BY folio)) AS reach FROM b),
+ r AS (SELECT folio, k, 0 AS line_index, [c] AS run FROM o WHERE k = 1
+  UNION ALL SELECT folio, k, CASE WHEN far THEN line_index + 1 ELSE line_index END, CASE WHEN far THEN [c] ELSE list_append(run, c) END FROM (SELECT o.folio, o.k, o.c, r.line_index, r.run, o.c - list_aggregate(r.run, 'median') > o.reach AS far FROM r JOIN o ON o.folio = r.folio AND o.k = r.k + 1))
+ SELECT folio, source_index, line_index, row_number() OVER w - 1 AS token_index, count(*) OVER l AS line_length, row_number() OVER w = 1 AS line_start, row_number() OVER w = count(*) OVER l AS line_end
+ FROM o JOIN r USING (folio, k) WINDOW w AS (PARTITION BY folio, line_index ORDER BY x, c, source_index), l AS (PARTITION BY folio, line_index)""")
 def line_inference(spark, d):
     """The lines of each page, from the words' boxes."""
     rows = table(spark, d, "proposals").select(folio_form(F.col("folio")).alias("folio"), "source_index", F.col("derivative_xywh").alias("b")).where("folio IS NOT NULL AND source_index IS NOT NULL AND b IS NOT NULL")
     boxes = rows.groupBy("folio", "source_index").agg(F.min("b.x").alias("x"), F.min("b.y").alias("y"), F.max("b.w").alias("w"), F.max("b.h").alias("h"))
-    return layout.infer_lines(boxes).select("folio", "source_index", "line_index", "token_index", "line_length", "line_start", "line_end")
+    return layout.infer_lines(boxes).select("folio", "source_index", "line_index", F.col("token_index").cast(BIG).alias("token_index"), F.col("line_length").cast(BIG).alias("line_length"), "line_start", "line_end")
 
 
 @query("SELECT count(*) FILTER (b.w >= 8 AND b.h >= 8 AND b.w * b.h >= 80) AS words_kept, count(*) FILTER (b.w >= 4 AND b.h >= 4 AND b.w * b.h >= 24 AND i BETWEEN 0.005 AND 0.92 AND NOT isnan(i)) AS proposals_kept FROM (SELECT DISTINCT proposal_id, derivative_xywh AS b, ink_fraction AS i FROM proposals)")
