@@ -169,7 +169,21 @@ _VECTORS = """WITH v AS (SELECT vec_id, any_value(vec::DOUBLE[]) AS v FROM propo
  n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, near) AS rank FROM s WHERE cosine >= 0.82),
  g AS (SELECT id, list_sort(list_append(list(near), id)) AS m FROM n GROUP BY id), k AS (SELECT m, count(*) AS c FROM g GROUP BY m)"""
 
+_PLACED = f"""WITH RECURSIVE {_EDGES.format("leaf_a", "leaf_b", "bifolios")},
+ l AS (SELECT proposal_id, coalesce({folio_form_sql('folio')}, CASE WHEN trim(folio, ' ') <> '' THEN '?' || lower(trim(folio, ' ')) END, '') AS stratum FROM proposals WHERE proposal_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY ingested_at NULLS LAST, stratum) = 1),
+ k AS (SELECT proposal_id, CASE WHEN stratum = '' THEN 'proposal:' || proposal_id WHEN stratum LIKE '?%' THEN 'name:' || stratum ELSE 'leaf:' || coalesce(group_id, TRY_CAST(regexp_extract(stratum, '^f([0-9]+)', 1) AS INT)) END AS unit FROM l LEFT JOIN g ON id = CASE WHEN stratum LIKE 'f%' THEN TRY_CAST(regexp_extract(stratum, '^f([0-9]+)', 1) AS INT) END),
+ u AS (SELECT unit, count(*) AS n, {position_sql("unit", salt="split")} AS spot FROM k GROUP BY unit), a AS (SELECT sum(n) AS total FROM u),
+ m AS (SELECT unit, (sum(n) OVER (ORDER BY n > total * 0.02 DESC, CASE WHEN n > total * 0.02 THEN -n ELSE 0 END, spot, unit ROWS UNBOUNDED PRECEDING) - n / 2) / total AS middle FROM u, a),
+ t AS (SELECT split_name, row_number() OVER w AS i, sum(share) OVER w / sum(share) OVER () AS upto, count(*) OVER () AS c FROM split_targets WHERE share > 0 WINDOW w AS (ORDER BY share DESC, split_name ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT unit, arg_min(split_name, i) AS split_name FROM m JOIN t ON middle < upto OR i = c GROUP BY unit)"""
+_SHARES = f""", y AS (SELECT proposal_id, coalesce(lower(trim(proposal_type, ' ')), '') AS proposal_type FROM proposals WHERE proposal_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY ingested_at NULLS LAST, coalesce(lower(trim(proposal_type, ' ')), '')) = 1),
+ q AS (SELECT split_name, unnest(['*', proposal_type]) AS proposal_type FROM k JOIN s USING (unit) JOIN y USING (proposal_id))
+ SELECT proposal_type, split_name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY proposal_type), 6) AS share FROM q GROUP BY proposal_type, split_name"""
+
 ORACLE = {
+    "p5_split": f"{_PLACED} SELECT proposal_id, unit, split_name FROM k JOIN s USING (unit)",
+    "p5_shares": _PLACED + _SHARES,
     "p4_nearest": f"{_VECTORS} SELECT id, near, cosine, rank FROM n WHERE rank <= 5",
     "p4_found": f"{_VECTORS} SELECT DISTINCT least(id, near) AS vec_id_a, greatest(id, near) AS vec_id_b FROM n WHERE rank <= 5",
     "p7_found": f"{_VECTORS} SELECT id AS vec_id, m[1] AS cluster_key FROM g JOIN k USING (m) WHERE c = len(m) AND c >= 5",
