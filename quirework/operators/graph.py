@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.plans.lineage import cut
+from quirework.plans.lineage import cut, cut_told, scratch
 from quirework.plans.prefix import running_sum
 
 RANGES = 256
@@ -25,6 +25,11 @@ def mutual_edges(knn: DataFrame, threshold: float) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(id, component): every end with the smallest id it is linked with; smallest labels spread, and labels are shortened, until nothing changes."""
+    with scratch(edges.sparkSession) as keep:
+        return keep(_components(edges, a, b))
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     near = cut(ends.union(ends.select("b", "a")).distinct())
     state = cut(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label"))
@@ -32,9 +37,9 @@ def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
         heard = near.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         spread = state.join(heard, state["id"] == heard["a"]).select("id", "label", F.least("label", "heard").alias("low"))
         short = state.select(F.col("id").alias("low"), F.col("label").alias("lower"))
-        after = cut(spread.join(short, "low").select("id", F.least("low", "lower").alias("label"), (F.least("low", "lower") != F.col("label")).alias("moved")))
+        after, told = cut_told(spread.join(short, "low").select("id", F.least("low", "lower").alias("label"), (F.least("low", "lower") != F.col("label")).alias("moved")), F.count_if("moved").alias("moved"))
         state = after.select("id", "label")
-        if after.where("moved").isEmpty():
+        if not told["moved"]:
             return state.select("id", F.col("label").alias("component"))
 
 

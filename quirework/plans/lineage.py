@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 TABLES = "quirework-tables"
+_scopes: list[list[str]] = []  # the tables written in each scratch() that is open, the innermost last
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,10 +37,44 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_told(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over its rows that are worked out as they are written, which spares another look at them."""
+    seen = Observation()
+    return cut(df.observe(seen, *measures)), seen.get
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut inside are deleted at the end, but for results that go through the function it gives, which cuts them for the scope around."""
+    own: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = _scopes.index(own)
+        inner, _scopes[at:] = _scopes[at:], []
+        try:
+            return cut(df)
+        finally:
+            _scopes.extend(inner)
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this application has written so far; what was made from them can't be read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
