@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.plans.lineage import cut
+from quirework.plans.lineage import cut, cut_told, scratch
 
 
 def _once(edges: DataFrame) -> DataFrame:
@@ -46,15 +46,22 @@ def hook_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     repeats and order of pairs make no difference; an empty table gives an empty one. Everything stays in tables; the
     driver only counts. State is cut off by checkpoints.
     """
-    links = cut(_once(edges.select(F.col(left).alias("lo"), F.col(right).alias("hi"))))
+    with scratch(edges.sparkSession) as keep:
+        return keep(_hooked(edges, left, right))
+
+
+def _hooked(edges: DataFrame, left: str, right: str) -> DataFrame:
+    rows = F.count("*").alias("rows")
+    links, told = cut_told(_once(edges.select(F.col(left).alias("lo"), F.col(right).alias("hi"))), rows)
     vertices, maps = links.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), []
-    while not links.isEmpty():
-        parents = cut(_doubled(cut(_parents(links))))
-        while not parents.where("moved").isEmpty():
-            parents = cut(_doubled(parents.drop("moved")))
+    moved = F.count_if("moved").alias("moved")
+    while told["rows"]:
+        parents, turn = cut_told(_doubled(cut(_parents(links))), moved)
+        while turn["moved"]:
+            parents, turn = cut_told(_doubled(parents.drop("moved")), moved)
         maps.append(parents.drop("moved"))
         ends = _at(links, "lo", maps[-1].select(F.col("v").alias("lo"), F.col("p").alias("lo2"))).select(F.col("lo2").alias("lo"), "hi")
-        links = cut(_once(_at(ends, "hi", maps[-1].select(F.col("v").alias("hi"), F.col("p").alias("hi2"))).select("lo", F.col("hi2").alias("hi"))))
+        links, told = cut_told(_once(_at(ends, "hi", maps[-1].select(F.col("v").alias("hi"), F.col("p").alias("hi2"))).select("lo", F.col("hi2").alias("hi"))), rows)
     if not maps:
         return vertices.select("id", F.col("id").alias("group_id"))
     # the maps shrink from round to round, so they are put together from the last to the first

@@ -9,7 +9,7 @@ from quirework.functions.folio import folio_form, leaf_number
 from quirework.functions.hashing import SPAN, position
 from quirework.llm.components import hook_components
 from quirework.llm.sampling import first_delivery
-from quirework.plans.lineage import cut
+from quirework.plans.lineage import cut, cut_told, scratch
 from quirework.plans.prefix import running_sum
 
 SEED_RATES = (1 / 8, 1 / 2, 1.0)
@@ -24,6 +24,12 @@ def frontier_components(edges: DataFrame, left: str, right: str, rates: tuple[fl
     reached is seeded at the next rate, at last wholly. Edges between two labels are the collisions; they form a graph
     of seeds, whose components merge the labels. Nulls, loops, repeats and order of pairs make no difference.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_searched(edges, left, right, rates))
+
+
+def _searched(edges: DataFrame, left: str, right: str, rates: tuple[float, ...]) -> DataFrame:
+    rows = F.count("*").alias("rows")
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     near = cut(ends.union(ends.select("b", "a")).where("a <> b").distinct().repartition("a"))
     left_over = cut(ends.select("a").union(ends.select("b")).distinct())
@@ -39,11 +45,11 @@ def frontier_components(edges: DataFrame, left: str, right: str, rates: tuple[fl
 
     for wave, rate in enumerate(rates):
         spot = position("a", salt=f"seed{wave}")
-        front = cut(left_over.where(spot < F.lit(int(rate * SPAN)) if rate < 1 else F.lit(True)).select("a", F.col("a").alias("seed")))
+        front, told = cut_told(left_over.where(spot < F.lit(int(rate * SPAN)) if rate < 1 else F.lit(True)).select("a", F.col("a").alias("seed")), rows)
         parts.append(front)
-        while rate < 1 and not front.isEmpty():
+        while rate < 1 and told["rows"]:
             reached = front.join(near.hint("merge"), "a").groupBy("b").agg(F.min("seed").alias("seed")).select(F.col("b").alias("a"), "seed")
-            front = cut(reached.join(seen(), "a", "left_anti"))
+            front, told = cut_told(reached.join(seen(), "a", "left_anti"), rows)
             parts.append(front)
         if rate < 1:
             left_over = cut(left_over.join(seen(), "a", "left_anti"))
