@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,52 +15,56 @@ from quirework.plans.workers import shipped
 LINE_SCHEMA = "source_index int, line_index int"
 
 
-def line_starts(centres: np.ndarray, limit: float) -> np.ndarray:
-    """Where lines begin among ordered centres: a box opens a line if it lies more than limit below the present one's median.
+class LineFold:
+    """The line of each box of a page, given from top to bottom: box by box, holding no more than the present line's centres.
 
-    As boxes come from top to bottom, no median lies below them, so the nearest line is the lowest, the last one opened.
+    A box joins the line whose present median centre is nearest, if it is within the limit; else it opens one. As boxes
+    come from top to bottom, no median lies below them, so the nearest line is the lowest, the last one opened, and lines
+    come in the order of their medians.
     """
-    values, starts, at = centres.tolist(), [0], 0
-    for n in range(1, len(values)):
-        half = (n - at) // 2
-        middle = values[at + half] if (n - at) % 2 else (values[at + half - 1] + values[at + half]) / 2
-        if values[n] - middle > limit:
-            starts.append(n)
-            at = n
-    return np.array(starts[: len(values)])
 
+    def __init__(self) -> None:
+        self.page, self.line, self.run = None, -1, []
 
-def fold_lines(index: np.ndarray, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(source_index, line_index) of boxes.
+    def line_of(self, page: object, centre: float, limit: float) -> int:
+        n = len(self.run)
+        if page != self.page or self.line < 0:
+            self.page, self.line, self.run = page, 0, [centre]
+        elif centre - (self.run[n // 2] if n % 2 else (self.run[n // 2 - 1] + self.run[n // 2]) / 2) > limit:
+            self.line, self.run = self.line + 1, [centre]
+        else:
+            self.run.append(centre)
+        return self.line
 
-    From top to bottom, a box joins the line whose present median centre is nearest, if it is near enough (8, or 0.65 of
-    the median height); else it opens one. Lines are numbered by their median centre.
-    """
-    if not len(index):
-        return index, np.zeros(0, np.int64)
-    centres = y + h / 2
+
+def fold_lines(index: np.ndarray, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source_index, line_index) of the boxes of one page; the limit is 8, or 0.65 of the median height."""
+    centres, fold = y + h / 2, LineFold()
     order = np.lexsort((index, x, centres))
-    opened = np.zeros(len(index), np.int64)
-    opened[line_starts(centres[order], max(8.0, 0.65 * float(np.median(h))))] = 1
-    return index[order], np.cumsum(opened) - 1
+    limit = max(8.0, 0.65 * float(np.median(h))) if len(h) else 8.0
+    return index[order], np.array([fold.line_of("", c, limit) for c in centres[order].tolist()], np.int64)
 
 
 def infer_lines(boxes: DataFrame, page: str = "folio") -> DataFrame:
     """boxes (page, source_index, x, y, w, h, ...) with line_index, token_index, line_length, line_start, line_end.
 
-    A page is one task's matter, as each box depends on those before: a sort and one pass over its boxes, four numbers
-    each. Boxes with a null number are left out. The places in lines are plain windows: by x, ties by centre, then source_index.
+    Each box depends on those before, so a page's boxes pass through one task, in order, but none of them is held longer
+    than its line is open. Boxes with a null number are left out. The places in lines are plain windows: by x, ties by
+    centre, then source_index.
     """
     whole = boxes.where("source_index IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL")
+    kind = dict(boxes.dtypes)[page]
+    x, y, h = (F.col(c).cast("double") for c in "xyh")
+    reach = F.greatest(F.lit(8.0), F.lit(0.65) * F.percentile(h, 0.5).over(Window.partitionBy(page)))
+    ordered = shipped(whole).select(F.col(page).alias("page"), F.col("source_index").cast("int").alias("source_index"), (y + h / 2).alias("centre"), x.alias("x"), reach.alias("reach")).repartition("page").sortWithinPartitions("page", "centre", "x", "source_index")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index, line = fold_lines(*(pdf[c].to_numpy() for c in ("source_index", "x", "y", "h")))
-        lines = pd.DataFrame({"source_index": index, "line_index": line})
-        lines.insert(0, page, pdf[page].iloc[0])
-        return lines
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = LineFold()
+        for batch in batches:
+            found = [fold.line_of(*row) for row in zip(batch["page"].tolist(), batch["centre"].tolist(), batch["reach"].tolist())]
+            yield pd.DataFrame({"page": batch["page"], "source_index": batch["source_index"], "line_index": found})
 
-    kind = dict(boxes.dtypes)[page]
-    lines = shipped(whole).select(page, F.col("source_index").cast("int").alias("source_index"), *(F.col(c).cast("double").alias(c) for c in "xyh")).groupBy(page).applyInPandas(run, f"{page} {kind}, {LINE_SCHEMA}")
+    lines = ordered.mapInPandas(run, f"page {kind}, {LINE_SCHEMA}").withColumnRenamed("page", page)
     return places(whole.join(lines, [page, "source_index"]), [page, "line_index"], [F.col("x"), F.col("y") + F.col("h") / 2, F.col("source_index")])
 
 
