@@ -39,7 +39,7 @@ LAST = 0x33480  # no letters are assigned from here on
 OTHER, LETTER, DIGIT, APOSTROPHE, STOP, SPACE, DROPPED, BROKEN = range(8)
 CHARACTERS = 1_500_000  # read at once, about
 
-LEAST_WORDS, SWITCH, SURE = 5, 4.0, 0.58
+LEAST_WORDS, SWITCH, SURE = 5, 6.0, 0.58
 
 
 def _spaces(m: re.Match) -> str:
@@ -308,16 +308,17 @@ def train(samples: DataFrame, documents: DataFrame, labelled: int = 1500, most_s
     nothing = [("zxx", words) for r in read for words in r["nothing"] if words]
     model = measured(fit([(lang, words, 1.0) for lang, words in clean] + [(lang, words, min(1.0, len(clean) / len(nothing))) for lang, words in nothing]), clean)
     told = [(r["named"], [s for s in r["said"] if len(s) >= LEAST_WORDS]) for r in read if r["named"]]
-    for epochs, doubt in ((3, 0.75), (5, 0.25)):
-        found = [(lang, words, 1.0) for lang, words in agreed(model, told, doubt)]
+    for epochs, whole in ((3, False), (5, True)):
+        found = [(lang, words, 1.0) for lang, words in agreed(model, told, whole)]
         model = measured(fit([(lang, words, 3.0) for lang, words in clean] + [(lang, words, 1.0) for lang, words in nothing] + found, epochs), clean)
     return model
 
 
-def agreed(model: Model, documents: list[tuple[str, list[list[str]]]], doubt: float) -> list[tuple[str, list[str]]]:
+def agreed(model: Model, documents: list[tuple[str, list[list[str]]]], whole: bool, doubt: float = 0.75) -> list[tuple[str, list[str]]]:
     """The sentences of labelled documents to learn from, if the model finds most of a document's in the label's language.
 
-    That takes in those it gives another language by no more than `doubt` typical margins: they hold what the samples lack.
+    That takes in those it gives another language by no more than `doubt` typical margins: they hold what the samples
+    lack. A document with a sentence beyond that may be mixed; where `whole`, nothing of it is taken.
     """
     flat = [s for _, sentences in documents for s in sentences]
     if not flat:
@@ -333,8 +334,9 @@ def agreed(model: Model, documents: list[tuple[str, list[list[str]]]], doubt: fl
     for named, sentences in documents:
         here = slice(at, at + len(sentences))
         right = language[here] == LANGUAGES.index(named)
-        if sentences and 2 * right.sum() > len(sentences):
-            out += [(named, s) for s, r, b in zip(sentences, right, behind[here]) if r or b <= doubt]
+        near = right | (behind[here] <= doubt)
+        if sentences and 2 * right.sum() > len(sentences) and (near.all() or not whole):
+            out += [(named, s) for s, n in zip(sentences, near) if n]
         at += len(sentences)
     return out
 
