@@ -9,7 +9,7 @@ is told from the numbers and marks. Nothing but pivots goes to all tasks, and no
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.vectors import dot, norm
 from quirework.llm.components import hook_components
+from quirework.llm.crossing import crossing
 from quirework.operators.pivots import AT_ONCE, MICRO, NARROW_SLACK, SLACK, Block, Index, mark, one_vector_each, post, prepared, usable_vectors
 from quirework.plans.lineage import cut, cut_told, scratch
 from quirework.plans.workers import shipped
@@ -40,7 +41,8 @@ def _starts(run: np.ndarray) -> np.ndarray:
 def _search(index: Index, least: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """What a list, or two blocks of one, gives.
 
-    LINK: lo, hi and micro-cosine of each vector's nearest and of its similar one of smallest id. SUM: of each vector
+    LINK: lo, hi and micro-cosine of each vector's nearest, of its similar one of smallest id, and of the smallest id that is
+    surely similar. SUM: of each vector
     (a, in list b) the weights and marks of the similar ones whose first common list this is. DOUBT: lo and hi of pairs that
     the stored precision leaves undecided; they are in no sum.
     """
@@ -68,19 +70,20 @@ def _search(index: Index, least: int) -> Callable[[tuple, pd.DataFrame], pd.Data
                 i, j = np.nonzero(sims >= np.float32(least / MICRO - slack))
                 value = sims[i, j]
                 near = np.flatnonzero(value >= np.float32(least / MICRO))
+                sure = value >= np.float32(least / MICRO + slack)
                 if len(near):
                     row, of = i[near], value[near]
                     starts = _starts(row)
                     run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(row)]))
                     top = np.flatnonzero(of == np.maximum.reduceat(of, starts)[run])
-                    for chosen in (near[starts], near[top[_starts(run[top])]]):
+                    certain = np.flatnonzero(sure)
+                    for chosen in (near[starts], near[top[_starts(run[top])]], certain[_starts(i[certain])] if len(certain) else certain):
                         x, y = block.ids[some[i[chosen]]], block.ids[cols[j[chosen]]]
                         links.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "n": np.rint(value[chosen] * MICRO).astype(np.int64)}))
                 told = np.ones(len(i), bool)
                 for p in earlier:
                     for q in earlier:
                         told &= (p[some[i]] != q[cols[j]]) | (p[some[i]] < 0)
-                sure = value >= np.float32(least / MICRO + slack)
                 unsure = told & ~sure
                 x, y = block.ids[some[i[unsure]]], block.ids[cols[j[unsure]]]
                 doubts.append(pd.DataFrame({"a": x[x < y], "b": y[x < y]}))
@@ -307,19 +310,28 @@ def _tasks(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("task", task).withColumn("t", F.explode(pairs)).select(*rows.columns, "task", "t.one", "t.two", "t.own")
 
 
+def _lows(members: DataFrame, index: Index) -> DataFrame:
+    """(label, id, low, met, met_marks) of members (label, id, vec, size, weight, mark, lists): see _measured."""
+    rows = members.select("label", "id", "size", "weight", "mark", "lists", "vec")
+    measured = _tasks(rows, Index.block).groupBy("task", "one", "two").applyInPandas(_measured(index), "label bigint, id bigint, low bigint, met bigint, met_marks bigint")
+    return measured.groupBy("label", "id").agg(F.min("low").alias("low"), F.sum("met").alias("met"), F.sum("met_marks").alias("met_marks"))
+
+
 def _tight(members: DataFrame, least: float, index: Index) -> DataFrame:
     """(label) of the clusters of members (label, id, vec, size, weight, mark, n, marks, lists) of which every two are of cosine `least` or more, and that nothing outside was found similar to.
 
     Measured in double precision, pair by pair: what a member was found similar to has to be what shares a list with it.
     """
-    rows = members.select("label", "id", "size", "weight", "mark", "lists", "vec")
-    measured = _tasks(rows, Index.block).groupBy("task", "one", "two").applyInPandas(_measured(index), "label bigint, id bigint, low bigint, met bigint, met_marks bigint")
-    sums = measured.groupBy("label", "id").agg(F.min("low").alias("low"), F.sum("met").alias("met"), F.sum("met_marks").alias("met_marks"))
-    each = sums.join(members.select("id", "n", "marks").distinct(), "id")
+    each = _lows(members, index).join(members.select("id", "n", "marks").distinct(), "id")
     fits = (F.col("low") >= round(least * MICRO)) & (F.col("met") == F.col("n")) & (F.col("met_marks") == F.col("marks"))
     return each.groupBy("label").agg(F.every(fits).alias("fits")).where("fits").select("label")
 
 
+def _similar(least: float) -> Column:
+    """Whether v_lo and v_hi are of cosine `least` or more, to 6 decimals."""
+    return F.round(dot(F.col("v_lo"), F.col("v_hi")) / (norm(F.col("v_lo")) * norm(F.col("v_hi"))), 6) >= least
+
+
 def closed(labels: DataFrame, found: Affinities, least: float, index: Index = AFFINITY_INDEX, fewest: int = 5) -> DataFrame:
     """(id, cluster_key) of labels (id, label) in clusters of at least `fewest` of which every two are of cosine `least` or more, and none is of that with a vector outside.
 
@@ -341,15 +353,70 @@ def closed(labels: DataFrame, found: Affinities, least: float, index: Index = AF
     within = found.weighed(_both_ways(doubts.where(inside & F.col("label_lo").isNotNull())), "near").groupBy("id").agg(F.sum("weight").alias("dn"), F.sum("mark").alias("dm"))
     lacking = placed.join(groups.where("NOT same").select("label", "size"), "label").join(within, "id", "left")
     lacking = lacking.withColumn("n", F.col("n") + F.coalesce("dn", F.lit(0))).withColumn("marks", F.col("marks") + F.coalesce("dm", F.lit(0))).drop("dn", "dm")
-    needed = lacking.join(asked.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), "id", "full")
+    needed = cut(lacking.join(asked.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), "id", "full"))
     vectors = cut(found.rows.select("id", "vec").join(needed, "id"))
     ends = {end: vectors.select(F.col("id").alias(end), F.col("vec").cast("array<double>").alias(f"v_{end}")) for end in ("lo", "hi")}
-    cosine = dot(F.col("v_lo"), F.col("v_hi")) / (norm(F.col("v_lo")) * norm(F.col("v_hi")))
-    torn = asked.join(ends["lo"], "lo").join(ends["hi"], "hi").where(F.round(cosine, 6) >= least).select("label").distinct()
-    whole = groups.where("same").select("label").unionByName(_tight(vectors.where("label IS NOT NULL"), least, index)).join(torn, "label", "left_anti")
+    torn = asked.join(ends["lo"], "lo").join(ends["hi"], "hi").where(_similar(least)).select("label").distinct()
+    # most clusters that aren't tight have a member unlike the smallest, which spares measuring them pair by pair
+    smallest = ends["lo"].join(groups.where("NOT same").select("label", F.col("cluster_key").alias("lo")), "lo").select("label", "v_lo")
+    loose = vectors.select("label", F.col("vec").cast("array<double>").alias("v_hi")).join(smallest, "label").where(~_similar(least)).select("label").distinct()
+    loose = cut(loose)
+    tight = _tight(vectors.where("label IS NOT NULL").join(loose, "label", "left_anti"), least, index)
+    whole = groups.where("same").select("label").unionByName(tight).join(torn, "label", "left_anti")
     return placed.select("id", "label").join(groups.join(whole, "label").select("label", "cluster_key"), "label").select("id", "cluster_key")
 
 
+def _joined(found: Affinities, rest: DataFrame, least: float, index: Index) -> DataFrame:
+    """(id, label) of rest (id): what the lists link surely, directly or not, has one label."""
+    slack = NARROW_SLACK if index.narrow else SLACK
+    doubts = cut(found.doubts.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi"))
+    # written first, so that few ids don't move all vectors
+    needed = cut(doubts.select(F.explode(F.array("lo", "hi")).alias("id")).distinct())
+    vectors = found.rows.select("id", F.col("vec").cast("array<double>").alias("vec")).join(needed, "id")
+    ends = {end: vectors.select(F.col("id").alias(end), F.col("vec").alias(f"v_{end}")) for end in ("lo", "hi")}
+    decided = doubts.join(ends["lo"], "lo").join(ends["hi"], "hi").where(_similar(least)).select("lo", "hi")
+    links = found.links.where(F.col("micro") >= round((least + slack) * MICRO) - 2).join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi")
+    groups = hook_components(links.select("lo", "hi").unionByName(decided), "lo", "hi")
+    return rest.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("label"))
+
+
+def closed_everywhere(labels: DataFrame, found: Affinities, least: float, index: Index = AFFINITY_INDEX, fewest: int = 5) -> DataFrame:
+    """(id, cluster_key), as closed gives it, but of all groups there are, and held against all vectors, whatever the lists and labels.
+
+    A closed group is all of what is linked to any of its members, so its parts in the lists are pieces of which every two
+    members are similar: clusters, or where clustering parted such a piece what the lists link. Every piece, single vectors
+    too, is held against all others and against the vectors in none; those that are similar across are put together and
+    measured pair by pair.
+    """
+    found = replace(found, doubts=cut(found.doubts))
+    first = cut(closed(labels, found, least, index, 1))
+    every = cut(found.sums.select("id").distinct())
+    rest, pieces = cut(labels.select("id").join(first, "id", "left_anti")), first
+    if not rest.isEmpty():
+        either = found.doubts.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").unionByName(found.doubts.join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi")).distinct()
+        theirs = replace(found, sums=found.sums.join(rest, "id", "left_semi"), doubts=either)
+        pieces = pieces.unionByName(cut(closed(cut(_joined(found, rest, least, index)), theirs, least, index, 1)))
+    alone = every.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster_key"))
+    shut = pieces.unionByName(alone)
+    # what is in no piece has similar ones that aren't similar to each other
+    named = every.join(shut, "id", "left").select("id", F.coalesce("cluster_key", "id").alias("piece"), F.col("cluster_key").isNull().alias("open"))
+    sizes = named.groupBy("piece").agg(F.count("*").alias("size"))
+    members, told = cut_told(named.join(sizes, "piece"), F.count("*").alias("n"))
+    across = cut(crossing(found.rows, members, told["n"], least, index.dim))
+    together = cut(hook_components(across, "piece", "other").withColumnRenamed("id", "piece"))
+    heavy = found.weighed(members, "id")
+    apart = heavy.join(together, "piece", "left_anti").where("NOT open").select("id", "weight", F.col("piece").alias("cluster_key"))
+    if not together.isEmpty():
+        merged = heavy.join(together, "piece").withColumnRenamed("group_id", "label")
+        good = merged.groupBy("label").agg(F.some("open").alias("opened"), F.sum("weight").alias("heft"), F.count("*").alias("size"), F.min("id").alias("cluster_key")).where((F.col("heft") >= fewest) & ~F.col("opened"))
+        asked = cut(merged.select("label", "id", "weight", "mark").join(good.select("label", "size", "cluster_key"), "label"))
+        vectors = found.rows.select("id", "vec").join(asked, "id").withColumn("lists", F.array().cast("array<int>"))
+        whole = _lows(vectors, index).groupBy("label").agg(F.min("low").alias("low")).where(F.col("low") >= round(least * MICRO)).select("label")
+        apart = apart.unionByName(asked.join(whole, "label").select("id", "weight", "cluster_key"))
+    large = apart.groupBy("cluster_key").agg(F.sum("weight").alias("size")).where(F.col("size") >= fewest).select("cluster_key")
+    return apart.join(large, "cluster_key").select("id", "cluster_key")
+
+
 def _with_copies(rows: DataFrame, excess: DataFrame | None) -> DataFrame:
     """rows (id, ...), and those of the copies that weren't posted, as their representatives'."""
     if excess is None:
@@ -361,14 +428,14 @@ def _with_copies(rows: DataFrame, excess: DataFrame | None) -> DataFrame:
 def closed_groups(df: DataFrame, least: float = 0.82, key: str = "vec_id", vec: str = "vec", fewest: int = 5) -> DataFrame:
     """(vec_id, cluster_key): members of the clusters of at least `fewest` of which every two are of cosine `least` or more and none is linked outside.
 
-    The clusters are those of spectral clustering, then checked in double precision against all that share a list with a
-    member, and inside against all members. Unusable vectors are in none; an empty table gives an empty one.
+    The clusters are those of spectral clustering, then checked in double precision against all vectors; groups that it
+    or the lists part are put together. Unusable vectors are in none; an empty table gives an empty one.
     """
     with scratch(df.sparkSession) as keep:
         found = affinities(df, least, key, vec)
         if found is None:
             return df.sparkSession.createDataFrame([], f"{key} bigint, cluster_key bigint")
-        return keep(_with_copies(closed(clusters(found.links), found, least, fewest=fewest), found.excess)).withColumnRenamed("id", key)
+        return keep(_with_copies(closed_everywhere(clusters(found.links), found, least, fewest=fewest), found.excess)).withColumnRenamed("id", key)
 
 
 def _summary(index: Index, typical: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:

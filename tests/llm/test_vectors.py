@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quirework.llm import neighbours, spectral
+from quirework.llm import crossing, neighbours, spectral
 from quirework.operators import pivots
 
 KIND = "vec_id long, vec array<float>, id string, near int"
@@ -184,6 +184,51 @@ def test_closed_whatever_the_lists(spark, pivots, block):
     assert {(r["id"], r["cluster_key"]) for r in got.collect()} == want
 
 
+def wide_groups(n_groups=150, seed=5):
+    """Groups whose members are just over the limit to each other, so that many share no list, and some with one outsider."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(n_groups):
+        centre = rng.normal(size=64)
+        x = centre / np.linalg.norm(centre) + rng.normal(size=(5 + g % 4, 64)) * 0.05
+        rows += [*x] if g % 3 else [*x, 1.6 * x[0] - 0.6 * x[1]]
+    return rng.permutation(len(rows)), np.array(rows, np.float32)
+
+
+def test_closed_groups_are_whole_though_lists_part_them(spark):
+    ids, x = wide_groups()
+    want = closed(ids, x)
+    assert len(want) > 300
+    assert {(r["vec_id"], r["cluster_key"]) for r in spectral.closed_groups(table(spark, ids, x)).collect()} == want
+
+
+@pytest.mark.parametrize("few, part", [(4000, 4096), (0, 4096), (0, 3)])
+def test_crossing_pieces(spark, monkeypatch, few, part):
+    monkeypatch.setattr(crossing, "FEW", few)
+    monkeypatch.setattr(crossing, "PART", part)
+    rng = np.random.default_rng(8)
+    ids, x = vectors(40, 8, 30)
+    piece = {int(i): int(p) for i, p in zip(ids, rng.integers(1000, 1400, len(ids)))}
+    open_ = {p: p % 5 == 0 for p in piece.values()}
+    names, s = cosines(ids, x)
+    pairs = {(piece[int(names[i])], piece[int(names[j])]) for i, j in zip(*np.nonzero(s >= 0.82))}
+    want = {frozenset(p) for p in pairs if p[0] != p[1] and not (open_[p[0]] and open_[p[1]])}
+    members = spark.createDataFrame([(i, p, open_[p], list(piece.values()).count(p)) for i, p in piece.items()], "id long, piece long, open boolean, size long")
+    rows = table(spark, np.r_[ids, ids[:5]], np.r_[x, x[:5]]).selectExpr("vec_id AS id", "vec")
+    got = crossing.crossing(rows, members, len(piece), 0.82, 64).collect()
+    assert len(want) > 50 and {frozenset((r["piece"], r["other"])) for r in got} == want
+
+
+def test_an_outsider_just_under_the_limit_parts_no_group(spark):
+    q = np.linalg.qr(np.random.default_rng(3).normal(size=(64, 64)))[0]
+    x = np.r_[[q[0]], 0.82 * q[0] + np.sqrt(1 - 0.82**2) * q[1] + 0.2 * q[2:12]].astype(np.float32)
+    _, s = cosines(np.arange(11), x)
+    least = round(float(s[0, 1:].max()) + 2e-5, 6)  # the stored 16 bits can't tell that none is similar to the smallest id
+    assert s[1:, 1:][~np.eye(10, dtype=bool)].min() > least + 0.01
+    got = spectral.closed_groups(table(spark, np.arange(11), x), least).collect()
+    assert {(r["vec_id"], r["cluster_key"]) for r in got} == {(i, 1) for i in range(1, 11)}
+
+
 def test_copies_beyond_a_few_follow_the_smallest(spark):
     ids, x = vectors(12, 5, 30)
     x = np.r_[x, np.repeat(x[40:41], 300, 0)]
