@@ -1,8 +1,10 @@
 """Pieces of which vectors are similar across, without an index: every piece is held against every other.
 
 A piece is a set of vectors within an angle of its centre, so two pieces whose centres are too far apart for any pair of
-their vectors need no further look. Of the others a vector is held against the centre, and only what is left against the
-vectors themselves, in double precision. The bounds hold for every vector, so no pair is missed.
+their vectors need no further look, nor do two of which all pairs together are similar on average. Of the others a vector
+is held against the centre, and only what is left against the vectors themselves, in double precision. The bounds hold
+for every vector, so no pair is missed. The vectors are moved to their pieces as 16-bit values; there is told, too, which
+pieces are surely tight, and which surely aren't.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.operators.pivots import FULL, MICRO, _unit
+from quirework.operators.pivots import FULL, MICRO, NARROW_SLACK, _unit
 from quirework.plans.lineage import cut
 
 ANGLE_SLACK = 1e-3  # more than 16-bit values, single precision and rounding to 6 decimals can turn a vector or a limit
 ROWS, COLUMNS = 1024, 4096  # centres held against each other at once
 EXPANDED = 200_000  # vectors held against a centre at once, about
-PART = 4096  # larger pieces are spread over the blocks
+PART = 4096  # larger pieces are spread over the blocks, and looked at in parts
 FEW, BLOCKS, MOST = 4000, 7, 250_000  # up to FEW vectors are one block; else there are BLOCKS, or more of MOST vectors
 
 
@@ -45,8 +47,48 @@ def _wide(data: pd.Series) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
+def _linked(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The places that are near to each other, directly or not, of each such set."""
+    left = np.ones(len(near), bool)
+    while left.any():
+        part = np.zeros(len(near), bool)
+        edge = part.copy()
+        edge[left.argmax()] = True
+        while edge.any():
+            part |= edge
+            edge = near[edge].any(0) & ~part
+        left &= ~part
+        yield np.flatnonzero(part)
+
+
+def _told(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """pdf (id, label, data) with the pieces of its labels: what is surely similar within a label, directly or not.
+
+    A piece of which two are surely not similar is open: it is part of no closed group, and each of its vectors is a piece
+    of its own. It is unsure if the 16-bit values don't tell whether every two are similar.
+    """
+    pdf = pdf.drop_duplicates("id").sort_values(["label", "id"])
+    x, label, piece = _wide(pdf["data"]).astype(np.float32), pdf["label"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64).copy()
+    open_, unsure = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    high, low = np.float32(least + NARROW_SLACK), np.float32(least - NARROW_SLACK)
+    starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    ends = np.r_[starts[1:], len(label)]
+    for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        sims = x[a:b] @ x[a:b].T
+        if sims.min() >= high:
+            piece[a:b] = piece[a]
+            continue
+        for part in _linked(sims >= high):
+            if len(part) > 1:
+                lowest = sims[np.ix_(part, part)].min()
+                open_[a + part], unsure[a + part] = lowest < low, low <= lowest < high
+                if lowest >= low:
+                    piece[a + part] = piece[a + part[0]]
+    return pdf.assign(piece=piece, open=open_, unsure=unsure)
+
+
 def _parts(at: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each piece in a block: its centre and the angle to the furthest of its vectors there, and these."""
+    """Of each piece in a block: its centre, the length of the mean of its unit vectors, the angle to the furthest of them, and these."""
     pdf = pdf.drop_duplicates("id").sort_values(["piece", "id"])
     x, piece = _wide(pdf["data"]), pdf["piece"].to_numpy(np.int64)
     starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
@@ -62,20 +104,21 @@ def _parts(at: int, pdf: pd.DataFrame) -> pd.DataFrame:
     raw, ids = pdf["data"].to_numpy(), pdf["id"].to_numpy(np.int64)
     ends = np.r_[starts, len(piece)]
     return pd.DataFrame({
-        "at": at, "piece": piece[starts], "open": pdf["open"].to_numpy()[starts], "angle": angle, "centre": [c.tobytes() for c in centre],
+        "at": at, "piece": piece[starts], "open": pdf["open"].to_numpy()[starts], "unsure": pdf["unsure"].to_numpy()[starts], "angle": angle, "mean": length[:, 0] / sizes, "centre": [c.tobytes() for c in centre],
         "ids": [ids[a:b] for a, b in zip(ends, ends[1:])], "data": [b"".join(raw[a:b]) for a, b in zip(ends, ends[1:])],
     })
 
 
-def _near(limit: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """(id, piece, other): vectors of a block's pieces that may be similar to one of another piece."""
+def _near(least: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """(id, piece, other, sure): vectors of a block's pieces that may be similar to one of another piece; sure: the pieces hold similar ones, whichever."""
+    limit = math.acos(least) + 3 * ANGLE_SLACK if least < 1 else 3 * ANGLE_SLACK
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             left, right = (side.sort_values(["open", "angle"], kind="stable") for side in (left, right))
             a, b = (_wide(side["centre"]).astype(np.float32) for side in (left, right))
-            (one, shut, wide), (two, also, far) = ((s["piece"].to_numpy(np.int64), ~s["open"].to_numpy(bool), s["angle"].to_numpy()) for s in (left, right))
+            (one, shut, wide, mean), (two, also, far, other) = ((s["piece"].to_numpy(np.int64), ~s["open"].to_numpy(bool), s["angle"].to_numpy(), s["mean"].to_numpy()) for s in (left, right))
             sizes = left["ids"].map(len).to_numpy()
             first, ids = np.r_[0, np.cumsum(sizes)[:-1]], np.concatenate(left["ids"].to_numpy())
             x = np.frombuffer(b"".join(left["data"]), np.int16).reshape(len(ids), -1)
@@ -88,7 +131,11 @@ def _near(limit: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.Data
                     i, j = np.nonzero(sims >= np.float32(math.cos(min(math.pi, wide[rows].max() + far[cols].max() + limit))))
                     value, i, j = sims[i, j], i + p, j + q
                     fits = (value >= np.cos(np.minimum(math.pi, wide[i] + far[j] + limit))) & (one[i] != two[j]) & (shut[i] | also[j])
-                    i, j = i[fits], j[fits]
+                    value, i, j = value[fits], i[fits], j[fits]
+                    # the mean of all their cosines, which the largest isn't below
+                    sure = value * mean[i] * other[j] >= least + ANGLE_SLACK
+                    out.append(pd.DataFrame({"id": ids[first[i[sure]]], "piece": one[i[sure]], "other": two[j[sure]], "sure": True}))
+                    i, j = i[~sure], j[~sure]
                     # the vectors of i against the centre of j
                     total = np.cumsum(sizes[i])
                     for at in np.split(np.arange(len(i)), np.searchsorted(total, np.arange(EXPANDED, total[-1], EXPANDED)) if len(i) else []):
@@ -100,39 +147,67 @@ def _near(limit: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.Data
                         y = x[of].astype(np.float32)
                         cosine = np.einsum("ij,ij->i", y, b[to]) / np.sqrt(np.einsum("ij,ij->i", y, y))
                         met = cosine >= np.cos(np.minimum(math.pi, far[to] + limit))
-                        out.append(pd.DataFrame({"id": ids[of[met]], "piece": np.repeat(one[i[at]], n)[met], "other": two[to[met]]}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "piece", "other")})
+                        out.append(pd.DataFrame({"id": ids[of[met]], "piece": np.repeat(one[i[at]], n)[met], "other": two[to[met]], "sure": False}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "piece", "other", "sure")}).astype({"sure": bool})
 
     return run
 
 
+PARTS = "at int, piece bigint, open boolean, unsure boolean, angle double, mean double, centre binary, ids array<bigint>, data binary"
+
+
+def _blocks(n: int) -> int:
+    return 1 if n <= FEW else max(BLOCKS, math.ceil(n / MOST) | 1)
+
+
+def pieces(rows: DataFrame, labels: DataFrame, n: int, least: float, dim: int) -> DataFrame:
+    """The pieces of all rows (id, vec), which may repeat, of n ids: those of labels (id, label), see _told; a row without a label has its own.
+
+    What has more than PART vectors is looked at in parts, which are pieces of their own.
+    """
+    large = cut(labels.groupBy("label").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")).where("parts > 1"))
+    named = labels if large.isEmpty() else labels.join(large, "label", "left").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    part = F.coalesce("part", F.lit(0)) if "part" in named.columns else F.lit(0)
+    label, blocks = F.coalesce("label", "id"), _blocks(n)
+    placed = stored(rows, dim).join(named, "id", "left").select("id", label.alias("label"), part.cast("int").alias("part"), F.pmod(F.xxhash64(label, part), F.lit(blocks)).cast("int").alias("at"), "data")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _parts(int(key[0]), pd.concat([_told(some, least) for _, some in pdf.groupby("part")]))
+
+    return cut(placed.groupBy("at").applyInPandas(run, PARTS))
+
+
 def crossing(rows: DataFrame, members: DataFrame, n: int, least: float, dim: int) -> DataFrame:
+    """across of rows (id, vec), which may repeat, and members (id, piece, open, size), n of them."""
+    blocks = _blocks(n)
+    spread = F.when(F.col("size") > PART, F.pmod(F.xxhash64("id"), F.lit(blocks))).otherwise(0)
+    placed = stored(rows, dim).join(members, "id").select("id", "piece", "open", F.lit(False).alias("unsure"), F.pmod(F.xxhash64("piece", spread), F.lit(blocks)).cast("int").alias("at"), "data")
+    return across(rows, cut(placed.groupBy("at").applyInPandas(lambda key, pdf: _parts(int(key[0]), pdf), PARTS)), n, least)
+
+
+def across(rows: DataFrame, parts: DataFrame, n: int, least: float) -> DataFrame:
     """(piece, other): the pairs of pieces, not both open, that hold vectors of a cosine (to 6 decimals) of `least` or more to each other.
 
-    rows are (id, vec), which may repeat; members (id, piece, open, size), n of them. All pairs of blocks of pieces meet,
-    each in one task: the vectors of one block, and the centres alone of the other.
+    All pairs of blocks of pieces meet, each in one task: the vectors of one block, and the centres alone of the other.
     """
-    blocks = 1 if n <= FEW else max(BLOCKS, math.ceil(n / MOST) | 1)
-    limit = math.acos(least) + 3 * ANGLE_SLACK if least < 1 else 3 * ANGLE_SLACK
-    spread = F.when(F.col("size") > PART, F.pmod(F.xxhash64("id"), F.lit(blocks))).otherwise(0)
-    placed = stored(rows, dim).join(members, "id").select("id", "piece", "open", F.pmod(F.xxhash64("piece", spread), F.lit(blocks)).cast("int").alias("at"), "data")
-    parts = cut(placed.groupBy("at").applyInPandas(lambda key, pdf: _parts(int(key[0]), pdf), "at int, piece bigint, open boolean, angle double, centre binary, ids array<bigint>, data binary"))
     # of blocks in a ring, each meets itself and the half that follows
+    blocks = _blocks(n)
     to = F.explode(F.array(*(F.pmod(F.col("at") - i, F.lit(blocks)).cast("int") for i in range(blocks // 2 + 1)))).alias("to")
-    centres = parts.select(to, "piece", "open", "angle", "centre")
-    near = cut(parts.groupBy("at").cogroup(centres.groupBy("to")).applyInPandas(_near(limit), "id bigint, piece bigint, other bigint"))
-    if near.isEmpty():
-        return near.select("piece", "other")
+    centres = parts.select(to, "piece", "open", "angle", "mean", "centre")
+    near = cut(parts.groupBy("at").cogroup(centres.groupBy("to")).applyInPandas(_near(least), "id bigint, piece bigint, other bigint, sure boolean"))
+    surely, near = near.where("sure").select("piece", "other"), near.where("NOT sure").drop("sure")
+    pairs = near.count()
+    if not pairs:
+        return surely
     # every vector that takes is moved once, to tasks of some pieces or of a part of a larger one
-    pairs, parts = near.count(), F.ceil(F.col("size") / F.lit(PART)).cast("int")
-    wanted = near.select("other").distinct().join(members.select("id", F.col("piece").alias("other"), "size"), "other")
-    theirs = wanted.select("id", "other", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("other").alias("piece"))
-    places = wanted.select("other", parts.alias("parts")).distinct()
-    ours = near.join(places, "other").select("id", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "piece")
+    size = F.ceil(F.size("ids") / F.lit(PART)).cast("int")
+    wanted = cut(parts.select(F.col("piece").alias("other"), "ids", size.alias("parts")).join(near.select("other").distinct(), "other"))
+    theirs = wanted.select(F.explode("ids").alias("id"), "other", "parts").select("id", "other", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("other").alias("piece"))
+    ours = near.join(wanted.select("other", "parts").distinct(), "other").select("id", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "piece")
     asked = cut(theirs.unionByName(ours).withColumn("task", F.pmod(F.xxhash64("other", "part"), F.lit(pairs // PART + 1))))
     needed = cut(asked.select("id").distinct())
     vectors = cut(rows.select("id", "vec").join(needed, "id").dropDuplicates(["id"]))
-    return asked.join(vectors, "id").groupBy("task").applyInPandas(_met(round(least * MICRO)), "piece bigint, other bigint").distinct()
+    return surely.unionByName(asked.join(vectors, "id").groupBy("task").applyInPandas(_met(round(least * MICRO)), "piece bigint, other bigint")).distinct()
 
 
 def _met(least: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:

@@ -1,15 +1,15 @@
 """Clusters of similar vectors: power-iteration spectral clustering of sparse affinities.
 
-The index of pivot permutations is searched once: each list gives affinities, and for each vector the number and marks
-of those it is similar to. A few vectors are multiplied at once by the normalised affinities; k-means in what results,
-each vector comparing only the centres that its own neighbours belong to, gives the clusters. Whether a cluster is closed
-is told from the numbers and marks. Nothing but pivots goes to all tasks, and no cluster need fit into one task.
+The index of pivot permutations is searched once for affinities. A few vectors are multiplied at once by the normalised
+affinities; k-means in what results, each vector comparing only the centres that its own neighbours belong to, gives the
+clusters. Whether they are closed is told by holding their pieces against all vectors (crossing.py). Nothing but pivots
+goes to all tasks, and no cluster need fit into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions.vectors import dot, norm
 from quirework.llm.components import hook_components
-from quirework.llm.crossing import crossing
-from quirework.operators.pivots import AT_ONCE, MICRO, NARROW_SLACK, SLACK, Block, Index, mark, one_vector_each, post, prepared, usable_vectors
+from quirework.llm.crossing import across, pieces
+from quirework.operators.pivots import AT_ONCE, MICRO, NARROW_SLACK, SLACK, Block, Index, one_vector_each, post, prepared, usable_vectors
 from quirework.plans.lineage import cut, cut_told, scratch
 from quirework.plans.workers import shipped
 
@@ -29,8 +29,6 @@ ROUNDS, TOUCHING = 6, 0.3
 ONE, COORDINATES, LANE = 2**15 - 1, 4, 16
 X = [f"x{i}" for i in range(COORDINATES)]
 COPIES = 6  # of equal vectors, so many are posted; the smallest stands for the others
-LINK, SUM, DOUBT = 0, 1, 2  # kinds of rows that a list gives
-FOUND = "kind tinyint, a bigint, b bigint, n bigint, marks bigint"
 
 
 def _starts(run: np.ndarray) -> np.ndarray:
@@ -38,25 +36,19 @@ def _starts(run: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
 
 
-def _search(index: Index, least: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _search(index: Index, least: int, doubts: bool = False) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """What a list, or two blocks of one, gives.
 
-    LINK: lo, hi and micro-cosine of each vector's nearest, of its similar one of smallest id, and of the smallest id that is
-    surely similar. SUM: of each vector
-    (a, in list b) the weights and marks of the similar ones whose first common list this is. DOUBT: lo and hi of pairs that
-    the stored precision leaves undecided; they are in no sum.
+    lo, hi and micro-cosine of each vector's nearest, of its similar one of smallest id, and of the smallest id that is
+    surely similar; or instead, of the pairs that the stored precision leaves undecided.
     """
     slack = NARROW_SLACK if index.narrow else SLACK
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, (here, one, two) = Block(pdf, index), (int(v) for v in key)
-        _, first = np.unique(pdf["id"].to_numpy(np.int64), return_index=True)
-        weight, marks = pdf["weight"].to_numpy(np.int64)[first], pdf["mark"].to_numpy(np.int64)[first]
-        # other lists that come before this one; a pair that meets there isn't told here
-        earlier = [np.where(c < here, c, -1) for c in block.perm.T]
+        block, (_, one, two) = Block(pdf, index), (int(v) for v in key)
         every = np.arange(len(block.ids))
         halves = [(every, every)] if one == two else [(np.flatnonzero(block.own == a), np.flatnonzero(block.own == b)) for a, b in ((one, two), (two, one))]
-        links, sums, doubts = [], [], []
+        links = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("lo", "hi", "micro")})]
         for rows, cols in halves:
             if not len(cols):
                 continue
@@ -67,59 +59,42 @@ def _search(index: Index, least: int) -> Callable[[tuple, pd.DataFrame], pd.Data
                 if one == two:
                     sims[np.arange(len(some)), at + np.arange(len(some))] = -2.0
                 # few are similar, so all else is done with the pairs that are
-                i, j = np.nonzero(sims >= np.float32(least / MICRO - slack))
+                i, j = np.nonzero(sims >= np.float32(least / MICRO - (slack if doubts else 0)))
                 value = sims[i, j]
-                near = np.flatnonzero(value >= np.float32(least / MICRO))
                 sure = value >= np.float32(least / MICRO + slack)
-                if len(near):
-                    row, of = i[near], value[near]
-                    starts = _starts(row)
-                    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(row)]))
-                    top = np.flatnonzero(of == np.maximum.reduceat(of, starts)[run])
-                    certain = np.flatnonzero(sure)
-                    for chosen in (near[starts], near[top[_starts(run[top])]], certain[_starts(i[certain])] if len(certain) else certain):
-                        x, y = block.ids[some[i[chosen]]], block.ids[cols[j[chosen]]]
-                        links.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "n": np.rint(value[chosen] * MICRO).astype(np.int64)}))
-                told = np.ones(len(i), bool)
-                for p in earlier:
-                    for q in earlier:
-                        told &= (p[some[i]] != q[cols[j]]) | (p[some[i]] < 0)
-                unsure = told & ~sure
-                x, y = block.ids[some[i[unsure]]], block.ids[cols[j[unsure]]]
-                doubts.append(pd.DataFrame({"a": x[x < y], "b": y[x < y]}))
-                sure &= told
-                row, of, n, total = i[sure], cols[j[sure]], np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-                if len(row):
-                    starts = _starts(row)
-                    n[row[starts]], total[row[starts]] = np.add.reduceat(weight[of], starts), np.add.reduceat(marks[of], starts)
-                sums.append(pd.DataFrame({"a": block.ids[some], "b": here, "n": n, "marks": total}))
-        parts = [pd.concat(x, ignore_index=True).assign(kind=kind) for kind, x in ((LINK, links), (SUM, sums), (DOUBT, doubts)) if x]
-        if not parts:
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("kind", "a", "b", "n", "marks")})
-        parts[0] = parts[0].drop_duplicates(["a", "b"])
-        out = pd.concat(parts, ignore_index=True)[["kind", "a", "b", "n", "marks"]].fillna(0).astype(np.int64)
-        return out.assign(kind=out["kind"].astype(np.int8))
+                if doubts:
+                    told = [np.flatnonzero(~sure)]
+                elif len(i):
+                    starts, certain = _starts(i), np.flatnonzero(sure)
+                    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(i)]))
+                    top = np.flatnonzero(value == np.maximum.reduceat(value, starts)[run])
+                    told = [starts, top[_starts(run[top])], certain[_starts(i[certain])] if len(certain) else certain]
+                else:
+                    told = []
+                for chosen in told:
+                    x, y = block.ids[some[i[chosen]]], block.ids[cols[j[chosen]]]
+                    links.append(pd.DataFrame({"lo": np.minimum(x, y), "hi": np.maximum(x, y), "micro": np.rint(value[chosen] * MICRO).astype(np.int64)}))
+        return pd.concat(links, ignore_index=True).drop_duplicates(["lo", "hi"])
 
     return run
 
 
 @dataclass
 class Affinities:
-    """rows (id, vec) posted; links (lo, hi, micro); sums (id, list, n, marks) of them; doubts (lo, hi); excess (id, rep), if any."""
+    """rows (id, vec) posted, of n ids; links (lo, hi, micro) of them; excess (id, rep), if any; doubts (lo, hi, micro), looked for only where they are asked for."""
 
     rows: DataFrame
+    n: int
     links: DataFrame
-    sums: DataFrame
     doubts: DataFrame
     excess: DataFrame | None
 
     def weighed(self, rows: DataFrame, column: str) -> DataFrame:
-        """rows with the weight and mark of the id in a column."""
+        """rows with the weight of the id in a column: itself and the copies that it stands for."""
         if self.excess is None:
-            return rows.withColumn("weight", F.lit(1).cast("bigint")).withColumn("mark", mark(column))
-        rest = self.excess.groupBy(F.col("rep").alias(column)).agg(F.count("*").alias("__n"), F.sum(mark("id")).alias("__marks"))
-        joined = rows.join(rest, column, "left")
-        return joined.withColumn("weight", 1 + F.coalesce("__n", F.lit(0))).withColumn("mark", mark(column) + F.coalesce("__marks", F.lit(0))).drop("__n", "__marks")
+            return rows.withColumn("weight", F.lit(1).cast("bigint"))
+        rest = self.excess.groupBy(F.col("rep").alias(column)).agg(F.count("*").alias("__n"))
+        return rows.join(rest, column, "left").withColumn("weight", 1 + F.coalesce("__n", F.lit(0))).drop("__n")
 
 
 def affinities(df: DataFrame, least: float, key: str, vec: str, index: Index = AFFINITY_INDEX) -> Affinities | None:
@@ -127,16 +102,10 @@ def affinities(df: DataFrame, least: float, key: str, vec: str, index: Index = A
     ready = prepared(df, key, vec, index, COPIES)
     if not len(ready.pivots):
         return None
-    posted = post(ready.rows, ready.pivots, ready.blocks, index)
-    found = cut(posted.groupBy("list", "one", "two").applyInPandas(_search(index, round(least * MICRO)), FOUND))
-
-    def of(kind: int) -> DataFrame:
-        return found.where(F.col("kind") == kind)
-
-    links = cut(of(LINK).groupBy(F.col("a").alias("lo"), F.col("b").alias("hi")).agg(F.max("n").alias("micro")))
-    sums = of(SUM).select(F.col("a").alias("id"), F.col("b").cast("int").alias("list"), "n", "marks")
-    doubts = of(DOUBT).select(F.col("a").alias("lo"), F.col("b").alias("hi")).distinct()
-    return Affinities(ready.rows, links, sums, doubts, ready.excess)
+    rows = ready.rows.select("id", "vec")
+    tasks = post(rows, ready.pivots, ready.blocks, index).groupBy("list", "one", "two")
+    found, doubts = (tasks.applyInPandas(_search(index, round(least * MICRO), d), "lo bigint, hi bigint, micro bigint").groupBy("lo", "hi").agg(F.max("micro").alias("micro")) for d in (False, True))
+    return Affinities(rows, ready.n, cut(found), doubts, ready.excess)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -263,41 +232,16 @@ def _relabelled(rows: DataFrame, moves: DataFrame) -> DataFrame:
     return now.withColumn("label", F.coalesce("__to", "label")).drop("__k", "__to").distinct()
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("lo").alias("id"), F.col("hi").alias("near")).unionByName(pairs.select(F.col("hi").alias("id"), F.col("lo").alias("near")))
-
-
-def _measured(index: Index) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """For each member in a task: the least cosine with others of its cluster there, and the weights and marks of those that share a list with it."""
-
-    def one_cluster(pdf: pd.DataFrame, one: int, two: int) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, own = pdf["id"].to_numpy(np.int64), pdf["own"].to_numpy()
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+def _lowest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each cluster in a task: the least cosine of its members there."""
+    out = []
+    for label, part in pdf.groupby("label"):
+        part = part.drop_duplicates("id").sort_values("id")
+        x, own = np.stack(part["vec"].to_numpy()).astype(np.float64), part["own"].to_numpy()
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        lists = np.stack([np.r_[v, np.full(index.posted - len(v), -1)] for v in pdf["lists"]])
-        weight, marks = pdf["weight"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
-        every, out = np.arange(len(ids)), []
-        halves = [(every, every)] if one == two else [(np.flatnonzero(own == a), np.flatnonzero(own == b)) for a, b in ((one, two), (two, one))]
-        for rows, cols in halves:
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                low = np.rint((x[some] @ x[cols].T) * MICRO).astype(np.int64)
-                itself = ids[some][:, None] == ids[cols][None, :]
-                low[itself] = MICRO
-                met = np.zeros(low.shape, bool)
-                for p in range(lists.shape[1]):
-                    for q in range(lists.shape[1]):
-                        met |= (lists[some, p][:, None] == lists[cols, q][None, :]) & (lists[some, p] >= 0)[:, None]
-                met = (met & ~itself).astype(np.int64)
-                out.append(pd.DataFrame({"id": ids[some], "low": low.min(1, initial=MICRO), "met": met @ weight[cols], "met_marks": met @ marks[cols]}))
-        return pd.concat(out).assign(label=int(pdf["label"].iloc[0]))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [one_cluster(p, int(key[1]), int(key[2])) for _, p in pdf.groupby("label")]
-        return pd.concat(parts)[["label", "id", "low", "met", "met_marks"]]
-
-    return run
+        rows, cols = x[own == key[1]], x[own == key[2]]
+        out.append((int(label), min((int(np.rint(rows[at : at + 512] @ cols.T * MICRO).min(initial=MICRO)) for at in range(0, len(rows), 512)), default=MICRO)))
+    return pd.DataFrame(out, columns=["label", "low"])
 
 
 def _tasks(rows: DataFrame, block: int) -> DataFrame:
@@ -310,21 +254,15 @@ def _tasks(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("task", task).withColumn("t", F.explode(pairs)).select(*rows.columns, "task", "t.one", "t.two", "t.own")
 
 
-def _lows(members: DataFrame, index: Index) -> DataFrame:
-    """(label, id, low, met, met_marks) of members (label, id, vec, size, weight, mark, lists): see _measured."""
-    rows = members.select("label", "id", "size", "weight", "mark", "lists", "vec")
-    measured = _tasks(rows, Index.block).groupBy("task", "one", "two").applyInPandas(_measured(index), "label bigint, id bigint, low bigint, met bigint, met_marks bigint")
-    return measured.groupBy("label", "id").agg(F.min("low").alias("low"), F.sum("met").alias("met"), F.sum("met_marks").alias("met_marks"))
-
-
-def _tight(members: DataFrame, least: float, index: Index) -> DataFrame:
-    """(label) of the clusters of members (label, id, vec, size, weight, mark, n, marks, lists) of which every two are of cosine `least` or more, and that nothing outside was found similar to.
-
-    Measured in double precision, pair by pair: what a member was found similar to has to be what shares a list with it.
-    """
-    each = _lows(members, index).join(members.select("id", "n", "marks").distinct(), "id")
-    fits = (F.col("low") >= round(least * MICRO)) & (F.col("met") == F.col("n")) & (F.col("met_marks") == F.col("marks"))
-    return each.groupBy("label").agg(F.every(fits).alias("fits")).where("fits").select("label")
+def _tight(members: DataFrame, least: float) -> DataFrame:
+    """(label) of the clusters of members (label, id, size, cluster_key, vec) of which every two are of cosine `least` or more, in double precision."""
+    # most clusters that aren't tight have a member unlike the smallest, which spares measuring them pair by pair
+    wide = members.select("label", "id", "cluster_key", F.col("vec").cast("array<double>").alias("v_hi"))
+    smallest = wide.where("id = cluster_key").select("label", F.col("v_hi").alias("v_lo"))
+    loose = cut(wide.join(smallest, "label").where(~_similar(least)).select("label").distinct())
+    rows = members.select("label", "id", "size", "vec").join(loose, "label", "left_anti")
+    measured = _tasks(rows, Index.block).groupBy("task", "one", "two").applyInPandas(_lowest, "label bigint, low bigint")
+    return measured.groupBy("label").agg(F.min("low").alias("low")).where(F.col("low") >= round(least * MICRO)).select("label")
 
 
 def _similar(least: float) -> Column:
@@ -333,88 +271,23 @@ def _similar(least: float) -> Column:
 
 
 def closed(labels: DataFrame, found: Affinities, least: float, index: Index = AFFINITY_INDEX, fewest: int = 5) -> DataFrame:
-    """(id, cluster_key) of labels (id, label) in clusters of at least `fewest` of which every two are of cosine `least` or more, and none is of that with a vector outside.
+    """(id, cluster_key) of the groups of at least `fewest` of which every two are of cosine `least` or more, and none is of that with a vector outside.
 
-    A cluster is closed if each of its members is similar to just the members: their number and the sum of their marks
-    tell it. Clusters of which members lack similar ones, as they share no list or the pair is in doubt, are measured
-    pair by pair; pairs in doubt that lead outside are decided in double precision. All vectors that takes are moved once.
-    """
-    sums = found.weighed(found.sums.groupBy("id").agg(F.sum("n").alias("n"), F.sum("marks").alias("marks"), F.collect_set("list").alias("lists")), "id")
-    placed = cut(labels.join(sums, "id"))
-    t, g = F.col("n") + F.col("weight"), F.col("marks") + F.col("mark")
-    groups = placed.groupBy("label").agg(F.sum("weight").alias("size"), F.sum("mark").alias("all_marks"), F.min(t).alias("t0"), F.max(t).alias("t1"), F.min(g).alias("g0"), F.max(g).alias("g1"), F.min("id").alias("cluster_key")).where(F.col("size") >= fewest)
-    same = (F.col("t0") == F.col("size")) & (F.col("t1") == F.col("size")) & (F.col("g0") == F.col("all_marks")) & (F.col("g1") == F.col("all_marks"))
-    # no member is similar to more than there are in the cluster; if not all to all, some lack
-    groups = cut(groups.where(F.col("t1") <= F.col("size")).select("label", "size", "cluster_key", same.alias("same")))
-    one, two = (labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}")) for end in ("lo", "hi"))
-    doubts = cut(found.doubts.join(one, "lo", "left").join(two, "hi", "left"))
-    inside = F.col("label_lo").eqNullSafe(F.col("label_hi"))
-    asked = doubts.where(~inside).withColumn("label", F.explode(F.array("label_lo", "label_hi"))).join(groups.select("label"), "label").select("lo", "hi", "label")
-    within = found.weighed(_both_ways(doubts.where(inside & F.col("label_lo").isNotNull())), "near").groupBy("id").agg(F.sum("weight").alias("dn"), F.sum("mark").alias("dm"))
-    lacking = placed.join(groups.where("NOT same").select("label", "size"), "label").join(within, "id", "left")
-    lacking = lacking.withColumn("n", F.col("n") + F.coalesce("dn", F.lit(0))).withColumn("marks", F.col("marks") + F.coalesce("dm", F.lit(0))).drop("dn", "dm")
-    needed = cut(lacking.join(asked.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), "id", "full"))
-    vectors = cut(found.rows.select("id", "vec").join(needed, "id"))
-    ends = {end: vectors.select(F.col("id").alias(end), F.col("vec").cast("array<double>").alias(f"v_{end}")) for end in ("lo", "hi")}
-    torn = asked.join(ends["lo"], "lo").join(ends["hi"], "hi").where(_similar(least)).select("label").distinct()
-    # most clusters that aren't tight have a member unlike the smallest, which spares measuring them pair by pair
-    smallest = ends["lo"].join(groups.where("NOT same").select("label", F.col("cluster_key").alias("lo")), "lo").select("label", "v_lo")
-    loose = vectors.select("label", F.col("vec").cast("array<double>").alias("v_hi")).join(smallest, "label").where(~_similar(least)).select("label").distinct()
-    loose = cut(loose)
-    tight = _tight(vectors.where("label IS NOT NULL").join(loose, "label", "left_anti"), least, index)
-    whole = groups.where("same").select("label").unionByName(tight).join(torn, "label", "left_anti")
-    return placed.select("id", "label").join(groups.join(whole, "label").select("label", "cluster_key"), "label").select("id", "cluster_key")
-
-
-def _joined(found: Affinities, rest: DataFrame, least: float, index: Index) -> DataFrame:
-    """(id, label) of rest (id): what the lists link surely, directly or not, has one label."""
-    slack = NARROW_SLACK if index.narrow else SLACK
-    doubts = cut(found.doubts.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi"))
-    # written first, so that few ids don't move all vectors
-    needed = cut(doubts.select(F.explode(F.array("lo", "hi")).alias("id")).distinct())
-    vectors = found.rows.select("id", F.col("vec").cast("array<double>").alias("vec")).join(needed, "id")
-    ends = {end: vectors.select(F.col("id").alias(end), F.col("vec").alias(f"v_{end}")) for end in ("lo", "hi")}
-    decided = doubts.join(ends["lo"], "lo").join(ends["hi"], "hi").where(_similar(least)).select("lo", "hi")
-    links = found.links.where(F.col("micro") >= round((least + slack) * MICRO) - 2).join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi")
-    groups = hook_components(links.select("lo", "hi").unionByName(decided), "lo", "hi")
-    return rest.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("label"))
-
-
-def closed_everywhere(labels: DataFrame, found: Affinities, least: float, index: Index = AFFINITY_INDEX, fewest: int = 5) -> DataFrame:
-    """(id, cluster_key), as closed gives it, but of all groups there are, and held against all vectors, whatever the lists and labels.
-
-    A closed group is all of what is linked to any of its members, so its parts in the lists are pieces of which every two
-    members are similar: clusters, or where clustering parted such a piece what the lists link. Every piece, single vectors
-    too, is held against all others and against the vectors in none; those that are similar across are put together and
-    measured pair by pair.
+    A closed group is all of what is linked to any of its members, so its parts in the labels (id, label) are pieces of
+    which every two are similar. Every piece, single vectors too, is held against all others; those that are similar
+    across are put together and, as what the stored precision leaves in doubt, measured pair by pair. So it are all groups
+    there are, whatever the labels.
     """
-    found = replace(found, doubts=cut(found.doubts))
-    first = cut(closed(labels, found, least, index, 1))
-    every = cut(found.sums.select("id").distinct())
-    rest, pieces = cut(labels.select("id").join(first, "id", "left_anti")), first
-    if not rest.isEmpty():
-        either = found.doubts.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").unionByName(found.doubts.join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi")).distinct()
-        theirs = replace(found, sums=found.sums.join(rest, "id", "left_semi"), doubts=either)
-        pieces = pieces.unionByName(cut(closed(cut(_joined(found, rest, least, index)), theirs, least, index, 1)))
-    alone = every.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster_key"))
-    shut = pieces.unionByName(alone)
-    # what is in no piece has similar ones that aren't similar to each other
-    named = every.join(shut, "id", "left").select("id", F.coalesce("cluster_key", "id").alias("piece"), F.col("cluster_key").isNull().alias("open"))
-    sizes = named.groupBy("piece").agg(F.count("*").alias("size"))
-    members, told = cut_told(named.join(sizes, "piece"), F.count("*").alias("n"))
-    across = cut(crossing(found.rows, members, told["n"], least, index.dim))
-    together = cut(hook_components(across, "piece", "other").withColumnRenamed("id", "piece"))
-    heavy = found.weighed(members, "id")
-    apart = heavy.join(together, "piece", "left_anti").where("NOT open").select("id", "weight", F.col("piece").alias("cluster_key"))
-    if not together.isEmpty():
-        merged = heavy.join(together, "piece").withColumnRenamed("group_id", "label")
-        good = merged.groupBy("label").agg(F.some("open").alias("opened"), F.sum("weight").alias("heft"), F.count("*").alias("size"), F.min("id").alias("cluster_key")).where((F.col("heft") >= fewest) & ~F.col("opened"))
-        asked = cut(merged.select("label", "id", "weight", "mark").join(good.select("label", "size", "cluster_key"), "label"))
-        vectors = found.rows.select("id", "vec").join(asked, "id").withColumn("lists", F.array().cast("array<int>"))
-        whole = _lows(vectors, index).groupBy("label").agg(F.min("low").alias("low")).where(F.col("low") >= round(least * MICRO)).select("label")
-        apart = apart.unionByName(asked.join(whole, "label").select("id", "weight", "cluster_key"))
-    large = apart.groupBy("cluster_key").agg(F.sum("weight").alias("size")).where(F.col("size") >= fewest).select("cluster_key")
-    return apart.join(large, "cluster_key").select("id", "cluster_key")
+    parts = pieces(found.rows, labels, found.n, least, index.dim)
+    together = cut(hook_components(across(found.rows, parts, found.n, least), "piece", "other").withColumnRenamed("id", "piece"))
+    asked = (F.col("unsure") | F.col("group_id").isNotNull()).alias("asked")
+    members = parts.select("piece", "open", "unsure", F.explode("ids").alias("id")).join(together, "piece", "left").select("id", F.coalesce("group_id", "piece").alias("label"), "open", asked)
+    sums = found.weighed(members, "id").groupBy("label").agg(F.some("open").alias("opened"), F.some("asked").alias("asked"), F.sum("weight").alias("heft"), F.count("*").alias("size"), F.min("id").alias("cluster_key"))
+    groups = cut(sums.where((F.col("heft") >= fewest) & ~F.col("opened")).select("label", "size", "cluster_key", "asked"))
+    doubtful = cut(members.select("id", "label").join(groups.where("asked").drop("asked"), "label"))
+    tight = _tight(cut(found.rows.join(doubtful, "id")), least)
+    whole = groups.where("NOT asked").select("label", "cluster_key").unionByName(groups.join(tight, "label").select("label", "cluster_key"))
+    return members.select("id", "label").join(whole, "label").select("id", "cluster_key")
 
 
 def _with_copies(rows: DataFrame, excess: DataFrame | None) -> DataFrame:
@@ -428,14 +301,14 @@ def _with_copies(rows: DataFrame, excess: DataFrame | None) -> DataFrame:
 def closed_groups(df: DataFrame, least: float = 0.82, key: str = "vec_id", vec: str = "vec", fewest: int = 5) -> DataFrame:
     """(vec_id, cluster_key): members of the clusters of at least `fewest` of which every two are of cosine `least` or more and none is linked outside.
 
-    The clusters are those of spectral clustering, then checked in double precision against all vectors; groups that it
-    or the lists part are put together. Unusable vectors are in none; an empty table gives an empty one.
+    The clusters are those of spectral clustering, then checked against all vectors, in double precision where 16-bit values
+    can't tell; groups that it or the lists part are put together. Unusable vectors are in none; an empty table gives an empty one.
     """
     with scratch(df.sparkSession) as keep:
         found = affinities(df, least, key, vec)
         if found is None:
             return df.sparkSession.createDataFrame([], f"{key} bigint, cluster_key bigint")
-        return keep(_with_copies(closed_everywhere(clusters(found.links), found, least, fewest=fewest), found.excess)).withColumnRenamed("id", key)
+        return keep(_with_copies(closed(clusters(found.links), found, least, fewest=fewest), found.excess)).withColumnRenamed("id", key)
 
 
 def _summary(index: Index, typical: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:

@@ -184,6 +184,9 @@ def test_closed_whatever_the_lists(spark, pivots, block):
     assert {(r["id"], r["cluster_key"]) for r in got.collect()} == want
 
 
+MOVED = 12  # times the bytes of the vectors that may be shuffled for the closed groups
+
+
 def wide_groups(n_groups=150, seed=5):
     """Groups whose members are just over the limit to each other, so that many share no list, and some with one outsider."""
     rng = np.random.default_rng(seed)
@@ -219,6 +222,32 @@ def test_crossing_pieces(spark, monkeypatch, few, part):
     assert len(want) > 50 and {frozenset((r["piece"], r["other"])) for r in got} == want
 
 
+@pytest.mark.parametrize("labelled", ["all alike", "at random"])
+def test_closed_though_labels_are_wrong_and_cut(spark, monkeypatch, labelled):
+    monkeypatch.setattr(crossing, "FEW", 0)
+    monkeypatch.setattr(crossing, "PART", 16)
+    ids, x = wide_groups(60)
+    ids, x = np.r_[ids, 9000 + np.arange(50)], np.r_[x, np.ones((50, 64), np.float32) + np.random.default_rng(2).normal(size=(50, 64)).astype(np.float32) * 0.03]
+    want = closed(ids, x)
+    rng = np.random.default_rng(3)
+    labels = spark.createDataFrame([(int(i), 0 if labelled == "all alike" else int(rng.integers(9))) for i in ids[:-20]], "id long, label long")
+    got = spectral.closed(labels, spectral.affinities(table(spark, np.r_[ids, ids[:9]], np.r_[x, x[:9]]), 0.82, "vec_id", "vec"), 0.82)
+    assert len(want) > 150 and {(r["id"], r["cluster_key"]) for r in got.collect()} == want
+
+
+def test_vectors_are_moved_a_few_times_only(spark):
+    ids, x = wide_groups(2000)
+    df = table(spark, ids, x)
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda s: (s.apply(i) for i in range(s.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large to be broadcast
+    try:
+        before = shuffled()
+        assert spectral.closed_groups(df).count() > 4000
+        assert (shuffled() - before) / (x.size * 4) < MOVED
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_an_outsider_just_under_the_limit_parts_no_group(spark):
     q = np.linalg.qr(np.random.default_rng(3).normal(size=(64, 64)))[0]
     x = np.r_[[q[0]], 0.82 * q[0] + np.sqrt(1 - 0.82**2) * q[1] + 0.2 * q[2:12]].astype(np.float32)
